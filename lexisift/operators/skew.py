@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexisift.operators.checkpoints import cut
+
 #: At most so many keys are treated as heavy; this bounds what is broadcast.
 MAX_HEAVY = 256
 #: Counters of the sketch. Its counts are off by at most rows / (0.75 * counters / 2).
@@ -135,7 +137,7 @@ def recorded_wrongly(postings: DataFrame, term_info: DataFrame, client_row: Data
     """
     single = term_info.filter(F.size("token_ids") == 1).select("collection", F.col("token_ids")[0].alias("term_id"), "f_dt").filter("term_id IS NOT NULL")
     recorded = single.groupBy("collection", "term_id").agg(F.min("f_dt").alias("low"), F.max("f_dt").alias("high"))
-    counts = term_document_counts(postings, recorded)
+    counts = cut(term_document_counts(postings, recorded))  # read twice; one row per term that was looked up
     terms = (
         recorded.join(counts, ["collection", "term_id"], "left")
         .withColumn("n", F.coalesce("n_docs", F.lit(0)))
