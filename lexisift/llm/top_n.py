@@ -43,8 +43,8 @@ def usable(scores: DataFrame) -> DataFrame:
     return scores.select(*_GROUP, "doc_id", "score").filter(f"collection IS NOT NULL AND qid IS NOT NULL AND doc_id IS NOT NULL AND {finite}")
 
 
-def _ranked(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """Distinct items by group, best first; where each row's group begins; its rank from 1."""
+def _ranked(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """Distinct items by group, best first; their ranks in it, from 1."""
     best = t.group_by(["collection", "qid", "doc_id"], use_threads=False).aggregate([("score", "max")])
     codes = best.column("collection").combine_chunks().dictionary_encode().indices.to_numpy()
     qid, doc, score = (best.column(c).to_numpy() for c in ("qid", "doc_id", "score_max"))
@@ -54,7 +54,7 @@ def _ranked(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     new[1:] = (codes[1:] != codes[:-1]) | (qid[1:] != qid[:-1])
     start = np.flatnonzero(new)[np.cumsum(new) - 1]
     best = pa.table({"collection": best.column("collection"), "qid": best.column("qid"), "doc_id": best.column("doc_id"), "score": best.column("score_max")})
-    return best.take(pa.array(order)), start, np.arange(len(order)) - start + 1
+    return best.take(pa.array(order)), np.arange(len(order)) - start + 1
 
 
 def local_bounds(rows: DataFrame, ranks: list[int]) -> DataFrame:
@@ -73,6 +73,10 @@ def local_bounds(rows: DataFrame, ranks: list[int]) -> DataFrame:
         columns = [few.column("collection"), few.column("qid"), pa.chunked_array([pa.array(rank[at])]), few.column("score"), few.column("doc_id")]
         return pa.RecordBatch.from_arrays([c.combine_chunks() for c in columns], names=out.names)
 
+    def together(held: list[pa.RecordBatch], kept: pa.Table | None) -> pa.Table:
+        read = [pa.table(b.columns, names=b.schema.names) for b in held]  # without the schema's not-null marks
+        return pa.concat_tables(read + ([kept] if kept is not None else []))
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, kept = [], 0, None
         for b in batches:
@@ -80,16 +84,14 @@ def local_bounds(rows: DataFrame, ranks: list[int]) -> DataFrame:
             n += b.num_rows
             if n < CHUNK_ROWS:
                 continue
-            t, _, rank = _ranked(pa.Table.from_batches(held) if kept is None else pa.concat_tables([pa.Table.from_batches(held), kept]))
+            t, rank = _ranked(together(held, kept))
             kept = t.take(pa.array(np.flatnonzero(rank <= deepest)))
             held, n = [], 0
             if kept.num_rows > KEEP_ROWS:  # what has been seen stands for itself
                 yield bounds(t, rank)
                 kept = None
         if n or kept is not None:
-            tables = ([pa.Table.from_batches(held)] if n else []) + ([kept] if kept is not None else [])
-            t, _, rank = _ranked(pa.concat_tables(tables))
-            yield bounds(t, rank)
+            yield bounds(*_ranked(together(held, kept)))
 
     return rows.mapInArrow(task, out)
 
