@@ -111,7 +111,7 @@ def query_terms(term_info: DataFrame) -> DataFrame:
     rows = term_info.select("collection", "qid", "token_ids")
     per_query = rows.groupBy("collection", "qid").agg(
         F.max(F.coalesce(F.size("token_ids"), F.lit(0))).alias("longest"),
-        F.collect_set(F.when(F.size("token_ids") == 1, F.col("token_ids")[0])).alias("ids"),
+        F.collect_set(F.when(F.size("token_ids") == 1, F.get("token_ids", F.lit(0)))).alias("ids"),
     )  # a query's distinct terms: bounded by the length of a query
     return per_query.filter("longest <= 1").select("collection", "qid", F.explode("ids").alias("term_id"))
 
@@ -135,7 +135,7 @@ def recorded_wrongly(postings: DataFrame, term_info: DataFrame, client_row: Data
     with a phrase or without any term are left out. Repeated rows count once, rows without
     a `req_id` don't count, empty tables give no rows.
     """
-    single = term_info.filter(F.size("token_ids") == 1).select("collection", F.col("token_ids")[0].alias("term_id"), "f_dt").filter("term_id IS NOT NULL")
+    single = term_info.filter(F.size("token_ids") == 1).select("collection", F.get("token_ids", F.lit(0)).alias("term_id"), "f_dt").filter("term_id IS NOT NULL")
     recorded = single.groupBy("collection", "term_id").agg(F.min("f_dt").alias("low"), F.max("f_dt").alias("high"))
     counts = cut(term_document_counts(postings, recorded))  # read twice; one row per term that was looked up
     terms = (
