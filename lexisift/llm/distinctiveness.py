@@ -48,7 +48,7 @@ def query_records(term_info: DataFrame) -> DataFrame:
     """(record_kind, collection, record_id, term_id, f): queries and their one-id terms, `f_qt` added over distinct rows."""
     columns = ["collection", "qid", "tok_pos", "token_ids", "f_qt", "sp_dt", "ep_dt", "f_dt"]
     rows = term_info.select(*columns).dropDuplicates().filter((F.size("token_ids") == 1) & F.col("qid").isNotNull())
-    f = rows.groupBy("collection", F.col("qid").alias("record_id"), F.col("token_ids")[0].alias("term_id")).agg(F.sum("f_qt").alias("f"))
+    f = rows.groupBy("collection", F.col("qid").alias("record_id"), F.get("token_ids", F.lit(0)).alias("term_id")).agg(F.sum("f_qt").alias("f"))
     return f.filter("term_id > 1 AND f IS NOT NULL").select(F.lit("query").alias("record_kind"), "collection", "record_id", "term_id", "f")
 
 
