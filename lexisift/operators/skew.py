@@ -34,8 +34,8 @@ def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*(F.col(f"`{k}`") for k in keys))
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, least: int = HEAVY_ROWS) -> list[int]:
-    """Hashes of the keys that hold at least `share` of the rows and `least` rows.
+def heavy_keys(df: DataFrame, keys: Sequence[str], share: float | None = None, least: int | None = None) -> list[int]:
+    """Hashes of the keys that hold at least `share` (HEAVY_SHARE) of the rows and `least` (HEAVY_ROWS) rows.
 
     One pass with a mergeable frequent-items sketch: each task keeps SKETCH_ITEMS counters,
     the driver receives at most MAX_HEAVY (hash, count) pairs. An empty table has none.
@@ -43,7 +43,7 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, l
     never the result.
     """
     row = df.select(key_hash(keys).alias("h")).selectExpr(f"approx_top_k(h, {MAX_HEAVY}, {SKETCH_ITEMS}) AS top", "count(*) AS n").first()
-    limit = max(least, share * row["n"])
+    limit = max(HEAVY_ROWS if least is None else least, (HEAVY_SHARE if share is None else share) * row["n"])
     return [x["item"] for x in row["top"] or [] if x["count"] >= limit and x["item"] is not None]
 
 

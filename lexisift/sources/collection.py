@@ -177,6 +177,6 @@ def read_symbols(spark: SparkSession, path: str, width: int = 8) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str, collection: str) -> DataFrame:
     """Documents (collection, doc_id, text, name) of text or HTML files, a document a file; tags are dropped, ids follow a hash of the name."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("name"), F.decode("content", F.lit("UTF-8")).alias("raw"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("name"), F.decode("content", "UTF-8").alias("raw"))
     plain = F.regexp_replace(F.regexp_replace("raw", r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^<>]*>", " ")
     return files.select(F.lit(collection).alias("collection"), F.xxhash64("name").alias("doc_id"), plain.alias("text"), "name")
