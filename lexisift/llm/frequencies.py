@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexisift.llm.burst_trie import BurstTrie, route
+from lexisift.llm.burst_trie import CONTAINER, BurstTrie, route
 from lexisift.operators.checkpoints import cut
 
 #: A task counts so many rows at once before they go into its tries.
@@ -42,9 +42,9 @@ def _subtrees(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), _LISTS)], names=_SUBTREE.names)
 
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _local(batches: Iterator[pa.RecordBatch], chunk_rows: int, held_terms: int, container: int) -> Iterator[pa.RecordBatch]:
     """One trie per group over a task's rows; gives its containers."""
-    tries: dict[str, BurstTrie] = defaultdict(BurstTrie)
+    tries: dict[str, BurstTrie] = defaultdict(lambda: BurstTrie(limit=container))
     held, n, terms = [], 0, 0
 
     def into_tries() -> int:
@@ -68,10 +68,10 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         held.append(b)
         n += b.num_rows
-        if n >= CHUNK_ROWS:
+        if n >= chunk_rows:
             terms += into_tries()
             held, n = [], 0
-            if terms >= HELD_TERMS:
+            if terms >= held_terms:
                 yield from out()
                 terms = 0
     if n:
@@ -92,7 +92,7 @@ def count_terms(rows: DataFrame, keys: Sequence[str], term: str = "term", occurr
     """(keys, term, occurrences, records): the sums over `rows` for every distinct term.
 
     rows: one row per group, term and record, with how often the record has the term; the
-    keys are strings, other columns are ignored. Rows with a null term don't count, a null
+    keys are strings without the sign U+001F, other columns are ignored. Rows with a null term don't count, a null
     number of occurrences is none of them but still a record. Terms are compared as
     strings, exactly.
 
@@ -103,7 +103,8 @@ def count_terms(rows: DataFrame, keys: Sequence[str], term: str = "term", occurr
     """
     group = F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("v"), F.col(k)), F.lit("n")) for k in keys)) if keys else F.lit("v")
     told = rows.filter(F.col(term).isNotNull()).select(group.alias(_GROUP), F.col(term).cast("string").alias("term"), F.coalesce(F.col(occurrences), F.lit(0)).cast("bigint").alias("occurrences"))
-    subtrees = cut(told.mapInArrow(_local, _SUBTREE))
+    limits = CHUNK_ROWS, HELD_TERMS, CONTAINER
+    subtrees = cut(told.mapInArrow(lambda batches: _local(batches, *limits), _SUBTREE))
     heavy = _heavy_prefixes(subtrees)
     routed_type = T.StructType([T.StructField("route", T.StringType()), *_SUBTREE.fields])
 
@@ -147,7 +148,7 @@ def count_terms(rows: DataFrame, keys: Sequence[str], term: str = "term", occurr
                     if (to, g) != now:
                         if trie is not None:
                             yield from counted(now[1], trie)
-                        now, trie = (to, g), BurstTrie(to)
+                        now, trie = (to, g), BurstTrie(to, limits[2])
                     trie.extend((prefix + r for r in rests), os, rs)
             if trie is not None:
                 yield from counted(now[1], trie)

@@ -118,7 +118,7 @@ def top_n(scores: DataFrame, requests: DataFrame) -> DataFrame:
     else:
         most = ks.agg(F.max("k")).first()[0]
         ranks = [2**i for i in range(max(1, (most - 1).bit_length()) + 1)]
-        rank_of = F.shiftleft(F.lit(1).cast("bigint"), F.ceil(F.log2(F.col("k").cast("double"))).cast("int"))
+        rank_of = F.array_min(F.filter(F.array(*map(F.lit, ranks)), lambda r: r >= F.col("k"))).cast("bigint")
     rows = usable(scores)
     best = local_bounds(rows, ranks).groupBy(*_GROUP, "rank").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("neg"))).alias("bound"))
     bounds = cut(
