@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and written to the checkpoint folder of the cluster.
-
-    The folder is the one in `spark.checkpoint.dir`. Only where that is unset (tests on one
-    machine) a temporary folder is made. The result survives the loss of executors.
-    """
+def _shared_folder(df: DataFrame) -> str:
+    """The checkpoint folder of the cluster; where that is unset (tests on one machine), a temporary one is made."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="lexisift-"))
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df`, computed once and written as a Parquet table in the shared folder: for tables that are read several times by columns."""
+    path = f"{_shared_folder(df)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df`, computed once and written to the shared checkpoint folder. The result survives the loss of executors."""
+    _shared_folder(df)
     return df.checkpoint(eager=True)

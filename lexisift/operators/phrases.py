@@ -9,25 +9,41 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexisift.operators.checkpoints import cut
 from lexisift.operators.skew import skew_join
 
+#: Phrases that are broadcast at most, about 200 bytes each.
+BROADCAST_PHRASES = 100_000
 
-def phrase_postings(tokens: DataFrame, phrases: DataFrame, dictionary: DataFrame) -> DataFrame:
+
+def phrase_postings(documents: DataFrame, phrases: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(collection, unit, doc_id, f_dt): the documents that hold each phrase, and how often, overlaps included.
 
-    tokens: (collection, doc_id, pos, term); phrases: (collection, unit), a unit being an
-    array of term ids of any length from 1; dictionary: (term, term_id), unique. A phrase
-    with an id that the dictionary lacks occurs nowhere. A token that is the i-th of a phrase votes for
-    the phrase beginning i places before it; the phrase is where it has all votes. Tokens of
-    no phrase are dropped first. Long lists aren't shuffled by term (see skew_join).
+    documents: (collection, doc_id, terms), terms being an array in the order of the text;
+    phrases: (collection, unit), a unit being an array of term ids of any length from 1;
+    dictionary: (term, term_id), unique. A phrase with an id that the dictionary lacks
+    occurs nowhere.
+
+    Each document gives its runs of neighbouring terms, of the lengths that the phrases have,
+    and only those that are phrases stay: the work is tokens times lengths, whatever the
+    number of phrases. Up to BROADCAST_PHRASES they are broadcast and no run is shuffled;
+    beyond that the join is skew_join.
     """
     units = phrases.select("collection", "unit").distinct().filter(F.size("unit") > 0)
-    steps = units.select("collection", "unit", F.size("unit").alias("n"), F.posexplode("unit").alias("i", "term_id"))
-    grouped = steps.join(dictionary.select("term_id", "term"), "term_id").groupBy("collection", "term").agg(F.collect_list(F.struct("unit", "n", "i")).alias("uses"))  # places in the batch's phrases
-    votes = skew_join(tokens.select("collection", "doc_id", "pos", "term"), grouped, ["collection", "term"])
-    begins = votes.select("collection", "doc_id", "pos", F.explode("uses").alias("use")).select("collection", "doc_id", "use.unit", "use.n", (F.col("pos") - F.col("use.i")).alias("begin"))
-    whole = begins.groupBy("collection", "unit", "n", "doc_id", "begin").agg(F.count("*").alias("votes")).filter("votes = n")
-    return whole.groupBy("collection", "unit", "doc_id").agg(F.count("*").alias("f_dt"))
+    steps = units.select("collection", "unit", F.posexplode("unit").alias("i", "term_id")).join(dictionary.select("term_id", "term"), "term_id")
+    words = F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))), lambda x: x["term"])
+    spelled = steps.groupBy("collection", "unit").agg(words.alias("words")).filter(F.size("words") == F.size("unit"))
+    wanted = cut(spelled.select("collection", "unit", F.array_join("words", " ").alias("gram"), F.size("words").alias("n")))
+    lengths = [r["n"] for r in wanted.select("n").distinct().collect()]  # bounded by the length of a query
+    runs = documents.select("collection", "doc_id", "terms", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("n")).filter(F.size("terms") >= F.col("n"))
+    begins = F.sequence(F.lit(1), F.size("terms") - F.col("n") + 1)
+    grams = runs.select("collection", "doc_id", F.explode(F.transform(begins, lambda b: F.array_join(F.slice("terms", b, F.col("n")), " "))).alias("gram"))
+    few = wanted.drop("n")
+    if few.count() <= BROADCAST_PHRASES:
+        found = grams.join(F.broadcast(few), ["collection", "gram"])
+    else:
+        found = skew_join(grams, few, ["collection", "gram"])
+    return found.groupBy("collection", "unit", "doc_id").agg(F.count("*").alias("f_dt"))
 
 
 def segment(ids: Sequence[int], count: Callable[[int, int], int], size: int, threshold: float) -> list[tuple[int, int]]:
@@ -73,14 +89,14 @@ def spans(queries: DataFrame) -> DataFrame:
     return runs.select("collection", F.slice("ids", F.col("b"), F.col("n")).alias("unit")).distinct()
 
 
-def segment_queries(queries: DataFrame, tokens: DataFrame, stats: DataFrame, dictionary: DataFrame, threshold: float = 10.0) -> DataFrame:
+def segment_queries(queries: DataFrame, documents: DataFrame, stats: DataFrame, dictionary: DataFrame, threshold: float = 10.0) -> DataFrame:
     """(collection, qid, unit, f_qt): the phrases that each query (collection, qid, ids) is cut into, equal ones counted together.
 
     Only spans of these queries are counted in the texts; the cutting runs where each query's
     counts are. A query's spans grow with the square of its length, which parsing bounds.
-    stats: (collection, n_symbols, ...).
+    documents: (collection, doc_id, terms); stats: (collection, n_symbols, ...).
     """
-    counts = phrase_postings(tokens, spans(queries), dictionary).groupBy("collection", "unit").agg(F.sum("f_dt").alias("n"))
+    counts = phrase_postings(documents, spans(queries), dictionary).groupBy("collection", "unit").agg(F.sum("f_dt").alias("n"))
     n = F.size("ids")
     begins = queries.filter(n > 0).select("collection", "qid", "ids", F.explode(F.sequence(F.lit(1), n)).alias("b"))
     runs = begins.select("collection", "qid", "ids", "b", F.explode(F.sequence(F.col("b") + 1, F.size("ids") + 1)).alias("e"))

@@ -64,8 +64,8 @@ def candidates(queries: DataFrame, found: DataFrame, lengths: DataFrame, stats:
     if mode not in ("or", "and"):
         raise ValueError(f"unknown mode: {mode}")
     chosen, s = RANKERS[ranker], Stats.of_columns()
-    with_query = skew_join(found, found_units(queries, found, stats), _UNIT, heavy=heavy, unique=False)
-    rows = with_query.join(lengths, ["collection", "doc_id"])
+    with_lengths = found.join(lengths, ["collection", "doc_id"])  # before the queries of a unit multiply its rows
+    rows = skew_join(with_lengths, found_units(queries, found, stats), _UNIT, heavy=heavy, unique=False)
     weight = F.col("n_found") * chosen.doc_weight(s) if chosen.doc_weight else F.lit(0.0)
     scored = rows.groupBy(*_QUERY, "doc_id").agg(
         (F.sum(chosen.contribution(s)) + F.first(weight)).alias("score"), F.count("*").alias("n_matched"), F.first("n_found").alias("n_found")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexisift.operators import analyze, phrases, querying
 from lexisift.operators import search as searching
+from lexisift.operators.checkpoints import written
 from lexisift.sources import exports
 from lexisift.sources.tables import table
 
@@ -23,13 +24,11 @@ def _lists(spark: SparkSession, d: str) -> DataFrame:
     return analyze.clean_postings(table(spark, d, "postings"))
 
 
-def _lengths(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.doc_lengths_of(_lists(spark, d), _documents(spark, d))
-
-
 def _inputs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    lengths = _lengths(spark, d)
-    return {"lists": _lists(spark, d), "lengths": lengths, "stats": analyze.collection_stats(lengths)}
+    """The index that a search reads: clean lists, lengths and statistics, each made once."""
+    lists = written(_lists(spark, d))
+    lengths = written(analyze.doc_lengths_of(lists, _documents(spark, d)))
+    return {"lists": lists, "lengths": lengths, "stats": analyze.collection_stats(lengths)}
 
 
 def _units(spark: SparkSession, d: str, with_phrases: bool = False) -> DataFrame:
@@ -38,7 +37,7 @@ def _units(spark: SparkSession, d: str, with_phrases: bool = False) -> DataFrame
 
 def _phrase_lists(spark: SparkSession, d: str) -> DataFrame:
     wanted = _units(spark, d, True).filter(F.size("unit") > 1)
-    return phrases.phrase_postings(analyze.tokens(_documents(spark, d)), wanted, table(spark, d, "term_dict"))
+    return phrases.phrase_postings(analyze.documents_terms(_documents(spark, d)), wanted, table(spark, d, "term_dict"))
 
 
 def _search(ranker: str, mode: str, k: int = K, with_phrases: bool = False) -> Callable[[SparkSession, str], DataFrame]:
@@ -144,12 +143,18 @@ def query_sample(spark, d):
     return querying.sample(query_unknown_drop(spark, d), 100)
 
 
+def _candidates(spark, d, mode):
+    given, units = _inputs(spark, d), _units(spark, d)
+    found = searching.unit_postings(given["lists"], units)
+    return searching.candidates(units, found, given["lengths"], given["stats"], "freq", mode).select("collection", "qid", "doc_id", "n_matched")
+
+
 def candidate_union(spark, d):
-    return searching.candidates(_units(spark, d), searching.unit_postings(_lists(spark, d), _units(spark, d)), _lengths(spark, d), analyze.collection_stats(_lengths(spark, d)), "freq", "or").select("collection", "qid", "doc_id", "n_matched")
+    return _candidates(spark, d, "or")
 
 
 def candidate_intersection(spark, d):
-    return searching.candidates(_units(spark, d), searching.unit_postings(_lists(spark, d), _units(spark, d)), _lengths(spark, d), analyze.collection_stats(_lengths(spark, d)), "freq", "and").select("collection", "qid", "doc_id", "n_matched")
+    return _candidates(spark, d, "and")
 
 
 def phrase_postings(spark, d):
@@ -161,7 +166,7 @@ def bigram_counts(spark, d):
 
 
 def bigram_association(spark, d):
-    return phrases.bigram_association(analyze.ngrams(_documents(spark, d), 2), term_stats(spark, d), analyze.collection_stats(doc_lengths(spark, d)))
+    return phrases.bigram_association(written(analyze.ngrams(_documents(spark, d), 2)), term_stats(spark, d), analyze.collection_stats(doc_lengths(spark, d)))
 
 
 def phrase_segmentation(spark, d):
@@ -170,7 +175,7 @@ def phrase_segmentation(spark, d):
     ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("tok_pos", "token_ids"))), lambda x: x["token_ids"]))
     queries = rows.groupBy("collection", "qid").agg(ids.alias("ids"))
     stats = analyze.collection_stats(doc_lengths(spark, d))
-    return phrases.segment_queries(queries, analyze.tokens(_documents(spark, d)), stats, table(spark, d, "term_dict"), threshold=2.0)
+    return phrases.segment_queries(queries, analyze.documents_terms(_documents(spark, d)), stats, table(spark, d, "term_dict"), threshold=2.0)
 
 
 def profile_counters(spark, d):

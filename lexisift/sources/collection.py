@@ -87,7 +87,7 @@ class Collection:
         return querying.parse(lines, self.dictionary, unknown).select("collection", "qid", F.array("term_id").alias("unit"), "f_qt")
 
     def phrase_lists(self, units: DataFrame) -> DataFrame:
-        return phrases.phrase_postings(analyze.tokens(self.documents), units.filter(F.size("unit") > 1), self.dictionary)
+        return phrases.phrase_postings(analyze.documents_terms(self.documents), units.filter(F.size("unit") > 1), self.dictionary)
 
     def search(self, units: DataFrame, k: int = 10, ranker: str = "bm25", mode: str = "or", with_phrases: bool = False) -> DataFrame:
         """See search.search(); units of several ids are phrases and need `with_phrases`."""

@@ -51,7 +51,7 @@ class SearchService:
         good = querying.parse(lines, self.collection.dictionary, "reject").select("collection", "qid").distinct()
         toks = querying.split_lines(lines).join(good, ["collection", "qid"]).select("collection", "qid", F.posexplode(F.split("content", " ", -1)).alias("at", "term"))
         ids = toks.join(self.collection.dictionary, "term").groupBy("collection", "qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term_id"))), lambda x: x["term_id"]).alias("ids"))
-        return phrases.segment_queries(ids, analyze.tokens(self.collection.documents), self.collection.stats, self.collection.dictionary, self.threshold)
+        return phrases.segment_queries(ids, analyze.documents_terms(self.collection.documents), self.collection.stats, self.collection.dictionary, self.threshold)
 
     def serve(self, requests: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, k: int = 10, mode: int = 0) -> StreamingQuery:
         """Answers a stream of requests (collection, line), a micro-batch at a time.

@@ -82,7 +82,7 @@ def test_top_k_is_a_prefix_and_and_is_a_subset(spark, toy):
 
 def test_single_word_phrases_are_terms(spark, toy, rows):
     ids = toy.dictionary.select(F.lit("toy").alias("collection"), F.array("term_id").alias("unit"))
-    as_phrases = phrases.phrase_postings(analyze.tokens(toy.documents), ids, toy.dictionary)
+    as_phrases = phrases.phrase_postings(analyze.documents_terms(toy.documents), ids, toy.dictionary)
     assert rows(as_phrases.select("collection", F.get("unit", F.lit(0)), "doc_id", "f_dt")) == rows(toy.postings.select("collection", "term_id", "doc_id", "f_dt"))
 
 
@@ -90,7 +90,7 @@ def test_overlapping_phrase(spark):
     docs = spark.createDataFrame([("c", 1, "a a a b", "x"), ("c", 2, "b a", "y")], "collection string, doc_id bigint, text string, name string")
     dictionary = spark.createDataFrame([("a", 2), ("b", 3)], "term string, term_id bigint")
     wanted = spark.createDataFrame([("c", [2, 2]), ("c", [2, 2, 3]), ("c", [9, 2])], "collection string, unit array<bigint>")
-    got = {(tuple(r["unit"]), r["doc_id"]): r["f_dt"] for r in phrases.phrase_postings(analyze.tokens(docs), wanted, dictionary).collect()}
+    got = {(tuple(r["unit"]), r["doc_id"]): r["f_dt"] for r in phrases.phrase_postings(analyze.documents_terms(docs), wanted, dictionary).collect()}
     assert got == {((2, 2), 1): 2, ((2, 2, 3), 1): 1}
 
 
@@ -183,7 +183,7 @@ def test_segmentation_against_brute_force(spark, threshold):
     stats = analyze.collection_stats(analyze.doc_lengths(frame))
     assert stats.first()["n_symbols"] == len(text)
     got = {}
-    for r in phrases.segment_queries(queried, analyze.tokens(frame), stats, dictionary, threshold).collect():
+    for r in phrases.segment_queries(queried, analyze.documents_terms(frame), stats, dictionary, threshold).collect():
         got.setdefault(r["qid"], {})[tuple(r["unit"])] = r["f_qt"]
     for i, q in enumerate(queries):
         expected = {}
