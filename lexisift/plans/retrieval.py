@@ -11,13 +11,13 @@ from lexisift.operators import analyze, phrases, querying
 from lexisift.operators import search as searching
 from lexisift.operators.checkpoints import written
 from lexisift.sources import exports
-from lexisift.sources.tables import table
+from lexisift.sources.tables import spread, table
 
 K = 10
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:

@@ -9,3 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of `sf_dir`; column pruning and filters reach the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in at least as many partitions as there are cores.
+
+    A table of a few small files would leave most cores idle while its texts are cut into
+    terms. A table with enough splits stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
