@@ -143,9 +143,9 @@ def query_sample(spark, d):
     return querying.sample(query_unknown_drop(spark, d), 100)
 
 
-def _candidates(spark, d, mode):
-    given, units = _inputs(spark, d), _units(spark, d)
-    found = searching.unit_postings(given["lists"], units)
+def _candidates(spark, d, mode, with_phrases=False):
+    given, units = _inputs(spark, d), _units(spark, d, with_phrases)
+    found = searching.unit_postings(given["lists"], units, written(_phrase_lists(spark, d)) if with_phrases else None)
     return searching.candidates(units, found, given["lengths"], given["stats"], "freq", mode).select("collection", "qid", "doc_id", "n_matched")
 
 
@@ -157,6 +157,14 @@ def candidate_intersection(spark, d):
     return _candidates(spark, d, "and")
 
 
+def phrase_candidate_union(spark, d):
+    return _candidates(spark, d, "or", with_phrases=True)
+
+
+def phrase_candidate_intersection(spark, d):
+    return _candidates(spark, d, "and", with_phrases=True)
+
+
 def phrase_postings(spark, d):
     return _phrase_lists(spark, d).select("collection", searching.unit_key(F.col("unit")).alias("unit"), "doc_id", "f_dt")
 
@@ -183,6 +191,12 @@ def profile_counters(spark, d):
     return searching.profile(_units(spark, d), given["lists"], given["stats"])
 
 
+def phrase_profile_counters(spark, d):
+    """profile_counters of whole queries: phrases are units too, so that queries of nothing else have a row."""
+    given = _inputs(spark, d)
+    return searching.profile(_units(spark, d, True), given["lists"], given["stats"], written(_phrase_lists(spark, d)))
+
+
 def result_names(spark, d):
     return exports.with_names(bm25_or(spark, d), _documents(spark, d)).select("collection", "qid", "rank", "doc_id", "name")
 
@@ -195,7 +209,19 @@ def doc_extract(spark, d):
     return exports.extract(_documents(spark, d), bm25_or(spark, d))
 
 
-bm25_or, bm25_and = _search("bm25", "or"), _search("bm25", "and")
+def phrase_result_names(spark, d):
+    return exports.with_names(phrase_bm25(spark, d), _documents(spark, d)).select("collection", "qid", "rank", "doc_id", "name")
+
+
+def phrase_trec_run(spark, d):
+    return exports.trec_rows(phrase_bm25(spark, d), _documents(spark, d), tag="bm25")
+
+
+def phrase_doc_extract(spark, d):
+    return exports.extract(_documents(spark, d), phrase_bm25(spark, d))
+
+
+bm25_or, bm25_and, phrase_bm25 = _search("bm25", "or"), _search("bm25", "and"), _search("bm25", "or", with_phrases=True)
 QUERIES = {
     f.__name__: f
     for f in (
@@ -203,10 +229,15 @@ QUERIES = {
         length_histogram, length_rank, distinct_docs_per_term, repetition_counts, query_lines, query_parse, query_unknown_drop, query_unknown_reject, query_errors,
         query_normalise, query_units, query_sample, candidate_union, candidate_intersection, phrase_postings, bigram_counts, bigram_association, phrase_segmentation,
         profile_counters, result_names, trec_run, doc_extract,
+        phrase_candidate_union, phrase_candidate_intersection, phrase_profile_counters, phrase_result_names, phrase_trec_run, phrase_doc_extract,
     )
 } | {f"{ranker}_{mode}": _search(ranker, mode) for ranker in ("bm25", "bm25_simple_est", "lmds", "tfidf", "freq") for mode in ("or", "and")} | {
-    f"phrase_{ranker}": _search(ranker, "or", with_phrases=True) for ranker in ("bm25", "lmds", "tfidf", "freq")
-} | {"phrase_bm25_and": _search("bm25", "and", with_phrases=True), "topk_single": _search("bm25", "or", k=1), "topk_100": _search("bm25", "or", k=100)}
+    f"phrase_{ranker}": _search(ranker, "or", with_phrases=True) for ranker in ("bm25", "bm25_simple_est", "lmds", "tfidf", "freq")
+} | {
+    f"phrase_{ranker}_and": _search(ranker, "and", with_phrases=True) for ranker in ("bm25", "bm25_simple_est", "lmds", "tfidf", "freq")
+} | {"topk_single": _search("bm25", "or", k=1), "topk_100": _search("bm25", "or", k=100)} | {
+    f"phrase_topk_{name}": _search("bm25", "or", k=k, with_phrases=True) for name, k in (("single", 1), ("100", 100))
+}
 
 _TOKS = r"""toks AS (SELECT collection, doc_id, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS pos
   FROM (SELECT collection, doc_id, regexp_extract_all(lower(nfc_normalize(coalesce(text, ''))), '[\p{L}\p{N}]+') AS terms FROM documents WHERE doc_id IS NOT NULL))"""
@@ -267,6 +298,7 @@ def _search_sql(*a, **b) -> str:
 
 
 _BM25 = _ranked_sql("bm25", "or")
+_PHRASE_BM25 = _ranked_sql("bm25", "or", with_phrases=True)
 _BOUND = f"""WITH {_INPUTS}, per AS (SELECT collection, term_id, count(*) AS dfreq, sum(f_dt) AS cfreq FROM lists GROUP BY 1, 2),
   rows AS (SELECT l.collection, l.term_id, l.f_dt, dfreq, cfreq, n_docs, n_symbols, avgdl, w_d, 1 AS f_qt FROM lists l JOIN per ON per.collection = l.collection AND per.term_id = l.term_id
     JOIN stats ON stats.collection = l.collection JOIN len ON len.collection = l.collection AND len.doc_id = l.doc_id)"""
@@ -312,7 +344,22 @@ FROM lens l LEFT JOIN tot ON tot.collection = l.collection AND tot.qid = l.qid L
     "result_names": f"WITH {_BM25} SELECT r.collection, qid, rank, r.doc_id, name FROM ranked r LEFT JOIN documents d ON d.doc_id = r.doc_id",
     "trec_run": f"WITH {_BM25} SELECT r.collection, qid, 'Q0' AS q0, name, rank, score, 'bm25' AS tag FROM ranked r LEFT JOIN documents d ON d.doc_id = r.doc_id",
     "doc_extract": f"""WITH {_BM25}, {_TOKS}, hit AS (SELECT DISTINCT doc_id FROM ranked)
+SELECT h.doc_id, coalesce(string_agg(term, ' ' ORDER BY pos), '') AS content FROM hit h LEFT JOIN toks t ON t.doc_id = h.doc_id GROUP BY 1""",
+    "phrase_profile_counters": f"""WITH {_found_sql(True)}, lens AS (SELECT collection, qid, count(*) AS qry_len FROM uq GROUP BY 1, 2),
+  tot AS (SELECT collection, qid, count(*) AS n_found, CAST(sum(dfreq) AS BIGINT) AS postings_total FROM fu GROUP BY 1, 2),
+  ev AS (SELECT collection, qid, count(DISTINCT doc_id) AS postings_evaluated FROM rows GROUP BY 1, 2)
+SELECT l.collection, l.qid, qry_len, coalesce(n_found, 0) AS n_found, coalesce(postings_total, 0) AS postings_total, coalesce(postings_evaluated, 0) AS postings_evaluated
+FROM lens l LEFT JOIN tot ON tot.collection = l.collection AND tot.qid = l.qid LEFT JOIN ev ON ev.collection = l.collection AND ev.qid = l.qid""",
+    "phrase_candidate_union": f"WITH {_found_sql(True)} SELECT collection, qid, doc_id, count(*) AS n_matched FROM rows GROUP BY 1, 2, 3",
+    "phrase_candidate_intersection": f"WITH {_found_sql(True)} SELECT collection, qid, doc_id, count(*) AS n_matched FROM rows GROUP BY 1, 2, 3 HAVING count(*) = any_value(n_found)",
+    "phrase_result_names": f"WITH {_PHRASE_BM25} SELECT r.collection, qid, rank, r.doc_id, name FROM ranked r LEFT JOIN documents d ON d.doc_id = r.doc_id",
+    "phrase_trec_run": f"WITH {_PHRASE_BM25} SELECT r.collection, qid, 'Q0' AS q0, name, rank, score, 'bm25' AS tag FROM ranked r LEFT JOIN documents d ON d.doc_id = r.doc_id",
+    "phrase_doc_extract": f"""WITH {_PHRASE_BM25}, hit AS (SELECT DISTINCT doc_id FROM ranked)
 SELECT h.doc_id, coalesce(string_agg(term, ' ' ORDER BY pos), '') AS content FROM hit h LEFT JOIN toks t ON t.doc_id = h.doc_id GROUP BY 1""",
 } | {f"{ranker}_{mode}": _search_sql(ranker, mode) for ranker in _SCORES for mode in ("or", "and")} | {
-    f"phrase_{ranker}": _search_sql(ranker, "or", with_phrases=True) for ranker in ("bm25", "lmds", "tfidf", "freq")
-} | {"phrase_bm25_and": _search_sql("bm25", "and", with_phrases=True), "topk_single": _search_sql("bm25", "or", 1), "topk_100": _search_sql("bm25", "or", 100)}
+    f"phrase_{ranker}": _search_sql(ranker, "or", with_phrases=True) for ranker in _SCORES
+} | {
+    f"phrase_{ranker}_and": _search_sql(ranker, "and", with_phrases=True) for ranker in _SCORES
+} | {"topk_single": _search_sql("bm25", "or", 1), "topk_100": _search_sql("bm25", "or", 100)} | {
+    f"phrase_topk_{name}": _search_sql("bm25", "or", k, with_phrases=True) for name, k in (("single", 1), ("100", 100))
+}

@@ -196,3 +196,25 @@ def test_sample_is_stable(spark, toy):
     rows = spark.createDataFrame([("c", i, t) for i in range(20) for t in (5, 3)], "collection string, qid bigint, term_id bigint")
     first, again = (sorted((r["qid"], tuple(r["term_ids"])) for r in querying.sample(rows, 5).collect()) for _ in range(2))
     assert first == again and len(first) == 5 and all(t == (3, 5) for _, t in first)
+
+
+def test_phrase_twins_of_registered_queries(spark, tmp_path, rows):
+    """A query of nothing but a phrase has a row, AND asks for the phrase, and qry_len counts it."""
+    import __spark_entry__ as e
+
+    docs = spark.createDataFrame([("toy", i, t, f"D{i}") for i, t in enumerate(TEXTS)], "collection string, doc_id bigint, text string, name string")
+    built = Collection.build(docs)
+    ids = {r["term"]: r["term_id"] for r in built.dictionary.collect()}
+    new, york, hen, sky = (ids[w] for w in ("new", "york", "hen", "sky"))
+    tokens = [("toy", 1, 0, [new, york], 1), ("toy", 2, 0, [new, york], 1), ("toy", 2, 1, [york], 1), ("toy", 3, 0, [sky, hen], 1), ("toy", 4, 0, [hen], 1)]
+    tables = {"documents": docs, "term_dict": built.dictionary, "postings": built.postings, "query_token": spark.createDataFrame(tokens, "collection string, qid bigint, tok_pos bigint, token_ids array<bigint>, f_qt bigint")}
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    run = lambda name: e.queries()[name](spark, str(tmp_path))
+    assert rows(run("phrase_profile_counters").drop("collection")) == [(1, 1, 1, 2, 2), (2, 2, 2, 6, 4), (3, 1, 0, 0, 0), (4, 1, 1, 2, 2)]
+    assert rows(run("phrase_candidate_union").drop("collection")) == [(1, 2, 1), (1, 3, 1), (2, 2, 2), (2, 3, 2), (2, 7, 1), (2, 8, 1), (4, 1, 1), (4, 7, 1)]
+    both = [(1, 2), (1, 3), (2, 2), (2, 3), (4, 1), (4, 7)]
+    for name in ("phrase_candidate_intersection", "phrase_freq_and", "phrase_lmds_and", "phrase_tfidf_and", "phrase_bm25_simple_est_and"):
+        assert rows(run(name).select("qid", "doc_id")) == both
+    assert rows(run("phrase_doc_extract").select("doc_id")) == [(1,), (2,), (3,), (7,), (8,)]
+    assert {r["qid"] for r in run("phrase_topk_single").collect()} == {1, 2, 4}
