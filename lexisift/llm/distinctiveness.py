@@ -92,12 +92,41 @@ def most_characteristic_by_counts(postings: DataFrame) -> DataFrame:
     The table compares the term's occurrences in the document with those in the remaining
     collection. A collection of one document leaves nothing to compare with: its llr is 0.
     """
+    return _documents_by_counts(*_counts(postings)).select("collection", "record_id", "term_id", F.round("weight", 3).alias("llr"))
+
+
+def records_by_counts(postings: DataFrame, term_info: DataFrame) -> DataFrame:
+    """(record_kind, collection, record_id, term_id, llr): the same for documents and queries.
+
+    A query, its one-id terms as of query_records(), is no part of the collection and is
+    compared with all of it. A term that the collection lacks counts too, as 0 there.
+    """
+    once, terms = _counts(postings)
+    both = _documents_by_counts(once, terms).unionByName(_queries_by_counts(query_records(term_info).filter("f > 0"), terms))
+    return both.select(*_RECORD, "term_id", F.round("weight", 3).alias("llr"))
+
+
+def _counts(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(collection, term_id, record_id, f) of the documents, and (collection, term_id, in_all) of their collections."""
     rows = postings.select("collection", "term_id", F.col("doc_id").alias("record_id"), F.col("f_dt").alias("f")).filter("term_id > 1 AND record_id IS NOT NULL AND f > 0")
     once = rows.repartition("collection", "term_id", "record_id").dropDuplicates().groupBy("collection", "term_id", "record_id").agg(F.sum("f").alias("f"))
-    terms = cut(once.groupBy(*_TERM).agg(F.sum("f").alias("in_all")))
-    totals = terms.groupBy("collection").agg(F.sum("in_all").alias("of_all"))
+    return once, cut(once.groupBy(*_TERM).agg(F.sum("f").alias("in_all")))
+
+
+def _totals(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("collection").agg(F.sum("in_all").alias("of_all"))
+
+
+def _documents_by_counts(once: DataFrame, terms: DataFrame) -> DataFrame:
     lengths = once.groupBy("collection", "record_id").agg(F.sum("f").alias("w_d"))
-    counted = _look_up(once, terms.join(totals, "collection")).join(lengths, ["collection", "record_id"])
+    counted = _look_up(once, terms.join(_totals(terms), "collection")).join(lengths, ["collection", "record_id"])
     f, w, c, t = (F.col(x).cast("double") for x in ("f", "w_d", "in_all", "of_all"))
     llr = log_likelihood_ratio(f, w - f, c - f, t - w - c + f)
-    return _best(counted.withColumn("record_kind", F.lit("document")), llr).select("collection", "record_id", "term_id", F.round("weight", 3).alias("llr"))
+    return _best(counted.withColumn("record_kind", F.lit("document")), llr)
+
+
+def _queries_by_counts(records: DataFrame, terms: DataFrame) -> DataFrame:
+    lengths = records.groupBy("collection", "record_id").agg(F.sum("f").alias("w_d"))
+    counted = skew_join(records, terms, _TERM, "left").join(lengths, ["collection", "record_id"]).join(_totals(terms), "collection", "left")
+    f, w, c, t = (F.coalesce(x, F.lit(0)).cast("double") for x in ("f", "w_d", "in_all", "of_all"))
+    return _best(counted, log_likelihood_ratio(f, w - f, c, t - c))

@@ -145,6 +145,24 @@ def test_counts_form(spark):
     assert got == {1: 2, 2: 3}
 
 
+def test_counts_form_of_both_kinds(spark, rows):
+    """Queries have a row too, also for terms (9) and collections (d) without postings, which count 0."""
+    lists = [("c", "t", 2, 1, 9, "w"), ("c", "t", 3, 1, 9, "w"), ("c", "t", 3, 2, 90, "w"), ("c", "t", 4, 2, 5, "w"), ("c", "t", 4, 2, 5, "w")]
+    info = [("c", 7, 0, [3], 2, 0, 0, 0), ("c", 7, 1, [4], 1, 0, 0, 0), ("c", 7, 1, [4], 1, 0, 0, 0), ("c", 8, 0, [9], 1, 0, 0, 0), ("c", 8, 1, [2], 1, 0, 0, 0), ("c", 1, 0, [2, 3], 1, 0, 0, 0), ("d", 5, 0, [2], 1, 0, 0, 0)]
+
+    def llr(k11, k12, k21, k22):
+        total, cells = k11 + k12 + k21 + k22, ((k11, k11 + k12, k11 + k21), (k12, k11 + k12, k12 + k22), (k21, k21 + k22, k11 + k21), (k22, k21 + k22, k12 + k22))
+        return pytest.approx(2 * sum(k * math.log(k * total / (row * col)) for k, row, col in cells if k), abs=1e-3)
+
+    postings = spark.createDataFrame(lists, POSTINGS)
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in distinctiveness.records_by_counts(postings, spark.createDataFrame(info, INFO)).collect()}
+    assert got == {
+        ("document", "c", 1): (2, llr(9, 9, 0, 95)), ("document", "c", 2): (3, llr(90, 5, 9, 9)),
+        ("query", "c", 7): (4, llr(1, 2, 5, 108)), ("query", "c", 8): (9, llr(1, 1, 0, 113)), ("query", "d", 5): (2, 0.0),
+    }
+    assert rows(distinctiveness.most_characteristic_by_counts(postings)) == sorted((c, i, *x) for (kind, c, i), x in got.items() if kind == "document")
+
+
 def test_distinctive_terms_of_nothing(spark):
     none = distinctiveness.most_characteristic(spark.createDataFrame([], POSTINGS), spark.createDataFrame([], INFO), spark.createDataFrame([], "collection string, doc_id bigint"))
     assert none.count() == 0
