@@ -6,23 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Longer lines are dropped, as are those of exactly this length.
+#: A client sends no line of this length or more. A batch has no limit: it gives None for `most_chars`.
 MOST_LINE_CHARS = 1024
 
 
-def split_lines(lines: DataFrame, column: str = "line") -> DataFrame:
+def _read(lines: DataFrame, column: str, most_chars: int | None) -> DataFrame:
+    """(other columns, column, qid, content, error), every line; error is null where it can be read."""
+    others = [c for c in lines.columns if c not in (column, "qid", "content", "error")]
+    line, parts = F.col(column), F.split(F.col(column), ";", 2)
+    qid = F.when(line.contains(";"), F.get(parts, F.lit(0)).try_cast("bigint"))
+    too_long = F.lit(False) if most_chars is None else F.coalesce(F.length(line) >= most_chars, F.lit(False))
+    error = F.when(too_long, "line too long").when(qid.isNull(), "unreadable line")
+    return lines.select(*others, column, qid.alias("qid"), F.get(parts, F.lit(1)).alias("content"), error.alias("error"))
+
+
+def split_lines(lines: DataFrame, column: str = "line", most_chars: int | None = MOST_LINE_CHARS) -> DataFrame:
     """(other columns, qid, content) of lines `qid;tok tok ...`.
 
-    The id stands before the first `;`. Lines of MOST_LINE_CHARS characters or more, without
-    a `;`, or whose id is no whole number, are left out.
+    The id stands before the first `;`. Lines of `most_chars` characters or more, without
+    a `;`, or whose id is no whole number, are left out; unreadable() has them.
     """
-    others = [c for c in lines.columns if c not in (column, "qid", "content")]
-    parts = F.split(F.col(column), ";", 2)
-    cut = lines.filter((F.length(column) < MOST_LINE_CHARS) & F.col(column).contains(";"))
-    return cut.select(*others, F.get(parts, F.lit(0)).try_cast("bigint").alias("qid"), F.get(parts, F.lit(1)).alias("content")).filter("qid IS NOT NULL")
+    return _read(lines, column, most_chars).filter("error IS NULL").drop(column, "error")
+
+
+def unreadable(lines: DataFrame, column: str = "line", most_chars: int | None = MOST_LINE_CHARS) -> DataFrame:
+    """(other columns, column, qid, error): the lines that split_lines() leaves out, and why; qid is null where there is none."""
+    return _read(lines, column, most_chars).filter("error IS NOT NULL").drop("content")
 
 
-def parse(lines: DataFrame, dictionary: DataFrame | None, unknown: str = "drop", column: str = "line") -> DataFrame:
+def parse(lines: DataFrame, dictionary: DataFrame | None, unknown: str = "drop", column: str = "line", most_chars: int | None = MOST_LINE_CHARS) -> DataFrame:
     """(other columns, qid, term_id, f_qt): the terms of each query and how often it has them.
 
     Tokens are parted by single blanks, so that two blanks in a row give an empty, unknown
@@ -33,7 +45,7 @@ def parse(lines: DataFrame, dictionary: DataFrame | None, unknown: str = "drop",
     """
     if unknown not in ("drop", "reject"):
         raise ValueError(f"unknown policy: {unknown}")
-    queries = split_lines(lines, column)
+    queries = split_lines(lines, column, most_chars)
     keys = [c for c in queries.columns if c != "content"]
     toks = queries.select(*keys, F.explode(F.split("content", " ", -1)).alias("term"))
     if dictionary is None:
@@ -48,12 +60,13 @@ def parse(lines: DataFrame, dictionary: DataFrame | None, unknown: str = "drop",
     return counted.filter("term_id IS NOT NULL")
 
 
-def rejected(lines: DataFrame, dictionary: DataFrame | None, column: str = "line") -> DataFrame:
-    """(other columns, qid, error): the queries that policy `reject` leaves out, and why."""
-    queries = split_lines(lines, column)
+def rejected(lines: DataFrame, dictionary: DataFrame | None, column: str = "line", most_chars: int | None = MOST_LINE_CHARS) -> DataFrame:
+    """(other columns, qid, error): the queries that policy `reject` leaves out, and why, and a row for each line that can't be read."""
+    queries = split_lines(lines, column, most_chars)
     keys = [c for c in queries.columns if c != "content"]
-    kept = parse(lines, dictionary, "reject", column).select(*keys).distinct()
-    return queries.select(*keys).distinct().join(kept, keys, "left_anti").withColumn("error", F.lit("unknown term"))
+    kept = parse(lines, dictionary, "reject", column, most_chars).select(*keys).distinct()
+    unknown = queries.select(*keys).distinct().join(kept, keys, "left_anti").withColumn("error", F.lit("unknown term"))
+    return unknown.unionByName(unreadable(lines, column, most_chars).drop(column))
 
 
 def units(query_token: DataFrame, phrases: bool = True) -> DataFrame:

@@ -115,19 +115,19 @@ def query_lines(spark, d):
 
 
 def query_parse(spark, d):
-    return querying.split_lines(query_lines(spark, d))
+    return querying.split_lines(query_lines(spark, d), most_chars=None)
 
 
 def query_unknown_drop(spark, d):
-    return querying.parse(query_lines(spark, d), table(spark, d, "term_dict"), "drop")
+    return querying.parse(query_lines(spark, d), table(spark, d, "term_dict"), "drop", most_chars=None)
 
 
 def query_unknown_reject(spark, d):
-    return querying.parse(query_lines(spark, d), table(spark, d, "term_dict"), "reject")
+    return querying.parse(query_lines(spark, d), table(spark, d, "term_dict"), "reject", most_chars=None)
 
 
 def query_errors(spark, d):
-    return querying.rejected(query_lines(spark, d), table(spark, d, "term_dict"))
+    return querying.rejected(query_lines(spark, d), table(spark, d, "term_dict"), most_chars=None)
 
 
 def query_normalise(spark, d):

@@ -82,9 +82,9 @@ class Collection:
         lists = self.postings.groupBy("collection").agg(F.count("*").alias("n_postings"))
         return self.stats.join(lists, "collection", "left").select("collection", F.coalesce("n_postings", F.lit(0)).alias("n_postings"), F.col("n_docs").alias("n_documents"), "n_symbols")
 
-    def parse(self, lines: DataFrame, unknown: str = "drop") -> DataFrame:
-        """Units of query lines (collection, line)."""
-        return querying.parse(lines, self.dictionary, unknown).select("collection", "qid", F.array("term_id").alias("unit"), "f_qt")
+    def parse(self, lines: DataFrame, unknown: str = "drop", most_chars: int | None = None) -> DataFrame:
+        """Units of query lines (collection, line), of any length unless `most_chars` is given."""
+        return querying.parse(lines, self.dictionary, unknown, most_chars=most_chars).select("collection", "qid", F.array("term_id").alias("unit"), "f_qt")
 
     def phrase_lists(self, units: DataFrame) -> DataFrame:
         return phrases.phrase_postings(analyze.documents_terms(self.documents), units.filter(F.size("unit") > 1), self.dictionary)
@@ -144,9 +144,10 @@ def read_url_order(spark: SparkSession, path: str, names: DataFrame) -> DataFram
     return names.join(listed.groupBy("name").agg(F.min("doc_order").alias("doc_order")), "name", "left").select("doc_id", "name", "doc_order")
 
 
-def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """(line) of a query file, without the lines that are too long."""
-    return spark.read.text(path).select(F.col("value").alias("line")).filter(F.length("line") < querying.MOST_LINE_CHARS)
+def read_queries(spark: SparkSession, path: str, most_chars: int | None = querying.MOST_LINE_CHARS) -> DataFrame:
+    """(line) of a query file as a client reads it, without the lines that are too long; all lines, as a batch does, if `most_chars` is None."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    return lines if most_chars is None else lines.filter(F.length("line") < most_chars)
 
 
 def read_symbols(spark: SparkSession, path: str, width: int = 8) -> DataFrame:

@@ -43,7 +43,7 @@ class SearchService:
         if mode & PHRASES:
             units = self._phrase_units(lines)
         else:
-            units = self.collection.parse(lines, "reject")
+            units = self.collection.parse(lines, "reject", querying.MOST_LINE_CHARS)
         results = self.collection.search(units, k, self.ranker, "and" if mode & AND else "or", bool(mode & PHRASES))
         return Answers(results, errors)
 

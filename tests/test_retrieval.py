@@ -218,3 +218,26 @@ def test_phrase_twins_of_registered_queries(spark, tmp_path, rows):
         assert rows(run(name).select("qid", "doc_id")) == both
     assert rows(run("phrase_doc_extract").select("doc_id")) == [(1,), (2,), (3,), (7,), (8,)]
     assert {r["qid"] for r in run("phrase_topk_single").collect()} == {1, 2, 4}
+
+
+def test_long_lines_of_a_batch(spark, tmp_path, rows):
+    """Only a client's lines have a limit."""
+    import __spark_entry__ as e
+
+    tokens = [("toy", 1, 0, [2] * 400, ["red"] * 400, 1), ("toy", 2, 0, None, ["red"] * 400 + ["zzz"], 1)]
+    spark.createDataFrame(tokens, "collection string, qid bigint, tok_pos bigint, token_ids array<bigint>, token_strs array<string>, f_qt bigint").write.parquet(f"{tmp_path}/query_token.parquet")
+    spark.createDataFrame([("red", 2)], "term string, term_id bigint").write.parquet(f"{tmp_path}/term_dict.parquet")
+    run = lambda name: rows(e.queries()[name](spark, str(tmp_path)))
+    assert [(q, len(x)) for _, q, x in run("query_parse")] == [(1, 1599), (2, 1603)]
+    assert run("query_unknown_drop") == [("toy", 1, 2, 400), ("toy", 2, 2, 400)]
+    assert run("query_unknown_reject") == [("toy", 1, 2, 400)]
+    assert run("query_errors") == [("toy", 2, "unknown term")]
+    assert run("query_sample") == [("toy", 1, [2]), ("toy", 2, [2])]
+
+
+def test_lines_that_cannot_be_read(spark, toy, rows):
+    lines = spark.createDataFrame([("7;" + "red " * 300,), ("x;red",), ("12",), (None,), ("8;red",), ("9;zzz",)], "line string")
+    unread = [(None, "unreadable line")] * 3
+    assert sorted(rows(querying.rejected(lines, toy.dictionary)), key=str) == sorted([(7, "line too long"), (9, "unknown term"), *unread], key=str)
+    assert (7, "line too long") not in rows(querying.rejected(lines, toy.dictionary, most_chars=None))
+    assert rows(querying.unreadable(lines).filter("line LIKE 'x%'")) == [("x;red", None, "unreadable line")]
