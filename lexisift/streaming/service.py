@@ -6,6 +6,7 @@ A request whose line has an unknown term, or can't be read, is answered with an
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lexisift.operators import analyze, phrases, querying
+from lexisift.operators.checkpoints import cut
 from lexisift.sources.collection import Collection
 
 #: Bits of a request's mode.
@@ -22,7 +24,7 @@ AND, PHRASES = 1, 2
 
 @dataclass(frozen=True)
 class Answers:
-    """results: (collection, qid, rank, doc_id, score); errors: (collection, qid, error)."""
+    """results: (collection, qid, line, k, mode, rank, doc_id, score); errors: (collection, qid, line, k, mode, error), qid null where the line has none."""
 
     results: DataFrame
     errors: DataFrame
@@ -37,30 +39,57 @@ class SearchService:
     threshold: float = 10.0
 
     def answer(self, requests: DataFrame, k: int = 10, mode: int = 0) -> Answers:
-        """Answers to requests (collection, line) of one mode and depth."""
-        lines = requests.select("collection", "line")
-        errors = querying.rejected(lines, self.collection.dictionary)
-        if mode & PHRASES:
-            units = self._phrase_units(lines)
-        else:
-            units = self.collection.parse(lines, "reject", querying.MOST_LINE_CHARS)
-        results = self.collection.search(units, k, self.ranker, "and" if mode & AND else "or", bool(mode & PHRASES))
-        return Answers(results, errors)
+        """Answers to requests (collection, line, k, mode), each at its own depth and mode.
+
+        The arguments k and mode hold where requests have no such column or a null in it.
+        Equal requests are answered once; a qid may come with several lines, depths and modes.
+        """
+        own = lambda c, default: F.coalesce(F.col(c) if c in requests.columns else F.lit(None), F.lit(default)).cast("bigint").alias(c)
+        distinct = requests.select("collection", "line", own("k", k), own("mode", mode)).dropDuplicates()
+        asked = cut(distinct.withColumn("request", F.monotonically_increasing_id()))
+        errors = querying.rejected(asked.select("request", "line"), self.collection.dictionary).join(asked, "request")
+        readable = querying.split_lines(asked)
+        bits = F.col("mode").bitwiseAND(F.lit(AND | PHRASES))
+        modes = [tuple(x) for x in asked.groupBy(bits).agg(F.max("k")).collect()] or [(mode, k)]  # four at most
+        found = None
+        for of_mode, deepest in modes:
+            some = self._search(readable.filter(bits == of_mode), deepest, of_mode)
+            found = some if found is None else found.unionByName(some)
+        results = found.join(asked.join(readable.select("request", "qid"), "request").drop("collection"), "request").filter("rank <= k")
+        return Answers(
+            results.select("collection", "qid", "line", "k", "mode", "rank", "doc_id", "score"),
+            errors.select("collection", "qid", "line", "k", "mode", "error"),
+        )
+
+    def _search(self, readable: DataFrame, k: int, mode: int) -> DataFrame:
+        """(collection, request, rank, doc_id, score) of readable requests (collection, request, content): requests stand for qids."""
+        lines = readable.select("collection", F.concat_ws(";", F.col("request").cast("string"), "content").alias("line"))
+        units = self._phrase_units(lines) if mode & PHRASES else self.collection.parse(lines, "reject")
+        found = self.collection.search(units, k, self.ranker, "and" if mode & AND else "or", bool(mode & PHRASES))
+        return found.withColumnRenamed("qid", "request")
 
     def _phrase_units(self, lines: DataFrame) -> DataFrame:
-        good = querying.parse(lines, self.collection.dictionary, "reject").select("collection", "qid").distinct()
-        toks = querying.split_lines(lines).join(good, ["collection", "qid"]).select("collection", "qid", F.posexplode(F.split("content", " ", -1)).alias("at", "term"))
+        good = querying.parse(lines, self.collection.dictionary, "reject", most_chars=None).select("collection", "qid").distinct()
+        toks = querying.split_lines(lines, most_chars=None).join(good, ["collection", "qid"]).select("collection", "qid", F.posexplode(F.split("content", " ", -1)).alias("at", "term"))
         ids = toks.join(self.collection.dictionary, "term").groupBy("collection", "qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term_id"))), lambda x: x["term_id"]).alias("ids"))
         return phrases.segment_queries(ids, analyze.documents_terms(self.collection.documents), self.collection.stats, self.collection.dictionary, self.threshold)
 
-    def serve(self, requests: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, k: int = 10, mode: int = 0) -> StreamingQuery:
-        """Answers a stream of requests (collection, line), a micro-batch at a time.
+    def serve(
+        self, requests: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, k: int = 10, mode: int = 0, error_sink: Callable[[DataFrame, int], None] | None = None
+    ) -> StreamingQuery:
+        """Answers a stream of requests, as of answer(), a micro-batch at a time.
 
-        sink(results, batch_id) writes the results of a batch; the same batch may come again
-        after a failure, so it must write by batch_id. Bad requests give no results.
+        sink(results, batch_id) writes the results of a batch, error_sink(errors, batch_id) its
+        errors; the same batch may come again after a failure, so both must write by batch_id.
+        Without error_sink the number of errors of a batch is logged as a warning.
         """
 
         def batch(df: DataFrame, batch_id: int) -> None:
-            sink(self.answer(df, k, mode).results, batch_id)
+            answers = self.answer(df, k, mode)
+            sink(answers.results, batch_id)
+            if error_sink is not None:
+                error_sink(answers.errors, batch_id)
+            elif n := answers.errors.count():
+                logging.getLogger(__name__).warning("batch %d: %d requests in error, and no error_sink", batch_id, n)
 
         return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

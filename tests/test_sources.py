@@ -110,6 +110,23 @@ def test_service(spark, saved, tmp_path):
     assert sorted(q for _, q in seen) == [1, 3]
 
 
+def test_service_of_own_depths_and_errors(spark, saved, tmp_path):
+    """Each request has its own k and mode, also under a qid used twice; every other line is an error that reaches its sink."""
+    service = SearchService(Collection.open(spark, saved), threshold=-100.0)
+    asked = [("1;red fox", 1, 0), ("1;red fox", None, AND), ("1;blue", 10, None), ("3;new york", 1, PHRASES | AND), ("x;red", 5, 0), ("no id", 5, 0), ("4;" + "red " * 300, 5, 0), ("5;zzz", 5, 0)]
+    (tmp_path / "in").mkdir()
+    schema = "collection string, line string, k bigint, mode bigint"
+    spark.createDataFrame([("toy", *x) for x in asked], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    results, errors = [], []
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    query = service.serve(stream, lambda df, i: results.extend(df.collect()), str(tmp_path / "cp"), error_sink=lambda df, i: errors.extend(df.collect()))
+    query.processAllAvailable()
+    query.stop()
+    got = {(r["qid"], r["line"][2:], r["k"], r["mode"], r["doc_id"]) for r in results}
+    assert got == {(1, "red fox", 1, 0, 0), (1, "red fox", 10, AND, 0), (1, "blue", 10, 0, 4), (1, "blue", 10, 0, 5), (3, "new york", 1, PHRASES | AND, 3)}
+    assert {(r["qid"], r["line"][:5], r["error"]) for r in errors} == {(None, "x;red", "unreadable line"), (None, "no id", "unreadable line"), (4, "4;red", "line too long"), (5, "5;zzz", "unknown term")}
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 
