@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from lexisift.llm import rank_summary as rs
 from lexisift.operators.checkpoints import cut
+from lexisift.operators.skew import skew_join
 
 #: Rank error of any percentile, as a share of the group's number of values.
 EPS = 0.004
@@ -19,7 +20,7 @@ EPS = 0.004
 PROBABILITIES = (0.5, 0.9, 0.95, 0.99)
 #: A task summarises so many rows at once.
 CHUNK_ROWS = 1_000_000
-#: So many tasks' summaries of a group meet in one merge; beyond that a level is put between.
+#: So many tasks' summaries of a group meet in one merge; beyond that levels are put between.
 FAN_IN = 64
 
 _SUMMARY = T.StructType(
@@ -94,14 +95,22 @@ def merged(parts: DataFrame, keys: Sequence[str], eps: float = EPS, asked: Seque
     """`parts`, one row per group: the summaries of equal `keys` (and `measure`) as one, with its percentiles.
 
     parts: as of summaries() or merged(), whose further key columns are left out; so days
-    become months. tasks: how many tasks made `parts`; with more than FAN_IN a level of
-    merges over FAN_IN tasks each is put between. A merge holds some hundred tuples of each
-    part. No rows give no rows.
+    become months. tasks: how many tasks made `parts`; with more than FAN_IN, levels of
+    merges over FAN_IN tasks each are put between until so many are left. A merge holds some
+    hundred tuples of each part. No rows give no rows.
     """
     by = [*keys, "measure"]
     if tasks > FAN_IN:
-        between = parts.withColumn("__of", F.floor(F.spark_partition_id() / FAN_IN).cast("int"))
-        parts = merged(between, [*keys, "__of"], eps, ())
+        between = parts.withColumn("__of", F.spark_partition_id())
+        while tasks > FAN_IN:
+            between = _met(between.withColumn("__of", F.floor(F.col("__of") / FAN_IN).cast("int")), [*by, "__of"], eps, ())
+            tasks = -(-tasks // FAN_IN)
+        parts = between
+    return _met(parts, by, eps, asked)
+
+
+def _met(parts: DataFrame, by: Sequence[str], eps: float, asked: Sequence[float]) -> DataFrame:
+    """One level of merges: a row per group of `by`."""
     out = T.StructType([*(parts.schema[k] for k in by), *_SUMMARY.fields])
 
     def group(t: pa.Table) -> pa.Table:
@@ -148,3 +157,26 @@ def by_period(requests: DataFrame, measures: Sequence[str] = ("qry_time", "searc
 def long_tails(report: DataFrame, times: float = 6, least: int = 100) -> DataFrame:
     """(period, index_name, ranker, measure) whose 95th percentile is more than `times` the median, of at least `least` values."""
     return report.filter((F.col("n") >= least) & (F.col("p95") > times * F.col("p50"))).select("period", "index_name", "ranker", "measure")
+
+
+def within_bound(requests: DataFrame, measures: Sequence[str] = ("qry_time", "search_time"), eps: float = EPS) -> DataFrame:
+    """(period, index_name, ranker, measure, n, within): whether all percentiles of by_period() are as near to the exact ranks as promised.
+
+    All values are counted: a check of by_period(), at the cost of a full shuffle of the
+    values. Periods and measures as of by_period(); groups of null names are compared too.
+    """
+    group = ["period", "index_name", "ranker", "measure"]
+    key = F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("v"), F.col(c)), F.lit("n")) for c in group)).alias("__group")
+    measured = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in measures)))
+    long = once(requests, measures).select("index_name", "ranker", F.explode(F.array("day", "month")).alias("period"), measured.alias("m")).select("period", "index_name", "ranker", "m.*")
+    counts = long.filter("x IS NOT NULL AND NOT isnan(x)").groupBy(key, "x").agg(F.count("*").alias("rows"))
+    answers = by_period(requests, measures, eps).withColumn("__group", key)
+    joined = skew_join(counts, answers, ["__group"])
+    n, rows = F.col("n"), F.col("rows")
+    errors = []
+    for p in PROBABILITIES:
+        rank, answer = F.greatest(F.lit(1), F.ceil(n * p - 1e-9)), F.col(f"p{round(100 * p)}")
+        below, up_to = F.sum(F.when(F.col("x") < answer, rows).otherwise(0)), F.sum(F.when(F.col("x") <= answer, rows).otherwise(0))
+        errors.append(F.greatest(below + 1 - F.first(rank), F.first(rank) - up_to))
+    checked = joined.groupBy("__group", *group, "n").agg((F.greatest(*errors) <= eps * F.first("n")).alias("near"), (F.sum("rows") == F.first("n")).alias("whole"))
+    return checked.select(*group, "n", (F.col("near") & F.col("whole")).alias("within"))

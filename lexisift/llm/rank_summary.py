@@ -4,10 +4,11 @@ A summary is a sorted list of tuples (v, g, d): the smallest possible rank of v
 of g up to it, its largest possible rank is d more. `uncertainty` is the largest g + d of
 any tuple; a rank is answered with an error of at most half of it.
 
-Compressing joins neighbours while the tuples stay within a permitted width. Level 0 may
-use eps/2 of the error, each higher level half of what is left, so that any number of
-merges stays below eps. Merging adds uncertainties as it adds counts, which keeps the
-relative error; the uncertainty really reached is measured and kept.
+Compressing joins neighbours into a tuple whose g + d, the g that comes from outside included,
+stays within a permitted width. Level l may use the share 1 - 1 / 2 ** (l + 1) of 2 * eps * n,
+so that each level has room of its own and any number of them stays within 2 * eps * n. Merging
+adds uncertainties as it adds counts, which keeps the relative error; the uncertainty really
+reached is measured and kept.
 """
 
 from __future__ import annotations
@@ -41,19 +42,29 @@ def exact(values: np.ndarray) -> Summary:
     return Summary(v, np.ones(len(v), np.int64), np.zeros(len(v), np.int64), len(v))
 
 
+def width(n: int, level: int, eps: float) -> int:
+    """The largest g + d that compressing at `level` may make."""
+    return int(2 * eps * n * (1 - 0.5 ** (level + 1)))
+
+
 def compress(s: Summary, eps: float) -> Summary:
-    """`s` with fewer tuples, within the share of eps that its level may use."""
-    width = int(2 * eps / 2 ** (s.level + 1) * s.n)
-    if width < 2 or len(s.v) <= 2:
+    """`s` with fewer tuples, none of them wider than its level allows unless it was so before.
+
+    A kept tuple takes over all g since the kept one before it, and its largest rank stays.
+    So from the smallest rank of the kept one, the next may be any whose largest rank is at
+    most `width` above; the furthest is taken. The minimum stays, and the maximum.
+    """
+    most = width(s.n, s.level, eps)
+    if most < 2 or len(s.v) <= 2:
         return s
-    bucket = (np.cumsum(s.g) - 1) // width
-    last = np.empty(len(bucket), bool)
-    last[-1] = True
-    np.not_equal(bucket[1:], bucket[:-1], out=last[:-1])
-    last[0] = True  # the minimum stays
-    at = np.flatnonzero(last)
-    total = np.cumsum(s.g)[at]
-    return Summary(s.v[at], np.diff(total, prepend=0), s.d[at], s.n, s.level)
+    low = np.cumsum(s.g)
+    high = low + s.d
+    following = np.maximum(np.searchsorted(high, low + most, "right") - 1, np.arange(1, len(low) + 1)).tolist()
+    at, last = [0], len(low) - 1
+    while at[-1] < last:
+        at.append(min(following[at[-1]], last))
+    kept = np.array(at)
+    return Summary(s.v[kept], np.diff(low[kept], prepend=0), s.d[kept], s.n, s.level)
 
 
 def _pair(a: Summary, b: Summary) -> Summary:
