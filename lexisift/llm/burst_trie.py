@@ -1,13 +1,15 @@
 """Counting strings in a burst trie.
 
-Inner nodes branch on one character. Leaves are containers: small tables from the rest of a
-term to its counters. A container that grows beyond its limit bursts into an inner node
-with a container per next character, so that the depth follows the terms.
+Inner nodes branch on one character, after the characters that all terms below share. Leaves
+are containers: small tables from the rest of a term to its counters. A container that grows
+beyond its limit bursts into an inner node with a container per next character, so that the
+depth follows the branches of the terms, not their length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from os.path import commonprefix
 
 #: Terms in a container before it bursts.
 CONTAINER = 256
@@ -22,8 +24,11 @@ class BurstTrie:
 
     def add(self, term: str, occurrences: int, records: int) -> None:
         """Adds to the counters of `term`, which begins with the trie's prefix."""
-        parent, at, i = None, self.root, len(self.prefix)
+        parent, step, at, i = None, "", self.root, len(self.prefix)
         while type(at) is Node:
+            if at.shared and not term.startswith(at.shared, i):
+                at = self._hang(parent, step, at.split(len(commonprefix([at.shared, term[i : i + len(at.shared)]]))))
+            i += len(at.shared)
             if i == len(term):
                 at.ends[0] += occurrences
                 at.ends[1] += records
@@ -42,11 +47,14 @@ class BurstTrie:
             return
         at.terms[rest] = [occurrences, records]
         if len(at.terms) > self.limit:
-            node = at.burst()
-            if parent is None:
-                self.root = node
-            else:
-                parent.children[term[i - 1]] = node
+            self._hang(parent, step, at.burst())
+
+    def _hang(self, parent: Node | None, step: str, node: Node) -> Node:
+        if parent is None:
+            self.root = node
+        else:
+            parent.children[step] = node
+        return node
 
     def extend(self, terms: Iterable[str], occurrences: Iterable[int], records: Iterable[int]) -> None:
         for t, o, r in zip(terms, occurrences, records):
@@ -62,6 +70,7 @@ class BurstTrie:
                     rests = sorted(at.terms)
                     yield prefix, rests, [at.terms[r][0] for r in rests], [at.terms[r][1] for r in rests]
                 continue
+            prefix += at.shared
             if at.ends[2]:
                 yield prefix, [""], [at.ends[0]], [at.ends[1]]
             waiting.extend((prefix + c, at.children[c]) for c in sorted(at.children, reverse=True))
@@ -74,26 +83,45 @@ class Leaf:
         self.terms: dict[str, list[int]] = {}
 
     def burst(self) -> Node:
-        node = Node()
+        node = Node(commonprefix([min(self.terms), max(self.terms)]))
+        skip = len(node.shared)
         for rest, (o, r) in self.terms.items():
-            if rest:
-                node.children.setdefault(rest[0], Leaf()).terms[rest[1:]] = [o, r]
+            if len(rest) > skip:
+                node.children.setdefault(rest[skip], Leaf()).terms[rest[skip + 1 :]] = [o, r]
             else:
                 node.ends = [o, r, True]
         return node
 
 
 class Node:
-    __slots__ = ("children", "ends")
+    __slots__ = ("shared", "children", "ends")
 
-    def __init__(self) -> None:
+    def __init__(self, shared: str = "") -> None:
+        self.shared = shared
         self.children: dict[str, Node | Leaf] = {}
         self.ends: list = [0, 0, False]
 
-
-def route(term: str, heavy: frozenset[str], deepest: int) -> str:
-    """The shortest prefix of `term` that isn't heavy, `deepest` characters at most."""
-    for i in range(min(len(term), deepest)):
-        if term[:i] not in heavy:
-            return term[:i]
-    return term[:deepest]
+    def split(self, at: int) -> Node:
+        """A node that shares the first `at` characters only, this one being its child."""
+        above = Node(self.shared[:at])
+        above.children[self.shared[at]] = self
+        self.shared = self.shared[at + 1 :]
+        return above
+
+
+def route(term: str, branches: dict[str, int]) -> str:
+    """The prefix of `term` that it is sent by: from the empty one, as long as it is in `branches`, one character more than the length given there."""
+    to = ""
+    while to in branches and len(term) > len(to):
+        to = term[: branches[to] + 1]
+    return to
+
+
+def decided(prefix: str, branches: dict[str, int]) -> str | None:
+    """The route that all terms with `prefix` have, None if they have several."""
+    to = ""
+    while to in branches:
+        if len(prefix) <= branches[to]:
+            return None
+        to = prefix[: branches[to] + 1]
+    return to

@@ -3,15 +3,18 @@
 A 2x2 table holds the term's count and all other counts, in the record and in the remaining
 collection. Two forms of the test are given:
 
-- `counts`: both rows are samples; the statistic is 2 * sum(O * ln(O / E)).
-- `rate`: the record's f occurrences of the term against the rate n / N at which the
-  collection's documents hold it, taken as known: the first form's limit, halved, for a
-  record row (f, 0) and a collection row growing in the proportion (n, N - n). It is
-  f * ln(N / n), the weight that rankings add up.
+- both rows are samples: the statistic is 2 * sum(O * ln(O / E)) over all four cells;
+- the collection's rate is known: the expected counts of the record come from the collection's
+  row alone, whose own cells are as expected then. For a record that is told by the term only,
+  (f, 0) against the collection's (n, N - n) documents with and without it, half of that is
+  f * ln(N / n), the weight that rankings add up. It is the limit of the first form for a
+  growing collection row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,17 +28,21 @@ _TERM = ["collection", "term_id"]
 _RECORD = ["record_kind", "collection", "record_id"]
 
 
-def log_likelihood_ratio(k11: Column, k12: Column, k21: Column, k22: Column) -> Column:
-    """2 * sum(O * ln(O / E)) of a 2x2 table, negative where the record has less than its share. Empty cells add 0."""
-    total = k11 + k12 + k21 + k22
-    cell = lambda k, row, column: F.when(k > 0, k * F.ln(k * total / (row * column))).otherwise(0.0)
-    g = 2 * (cell(k11, k11 + k12, k11 + k21) + cell(k12, k11 + k12, k12 + k22) + cell(k21, k21 + k22, k11 + k21) + cell(k22, k21 + k22, k12 + k22))
-    return F.when(k11 * (k21 + k22) < k21 * (k11 + k12), -g).otherwise(g)
-
+def log_likelihood_ratio(k11: Column, k12: Column, k21: Column, k22: Column, rate_known: bool = False) -> Column:
+    """2 * sum(O * ln(O / E)) of a 2x2 table, the record's row first, the term's column first.
 
-def log_likelihood_of_rate(f: Column, n: Column, of: Column) -> Column:
-    """f * ln(N / n): how much likelier f occurrences are if the record is about the term than at the collection's rate n / N."""
-    return f * F.ln(of.cast("double") / n)
+    Negative where the record has less than its share. Empty cells add 0. rate_known: the
+    collection's row is no sample but gives the rates of both columns; null if it is empty.
+    """
+    k11, k12, k21, k22 = (k.cast("double") for k in (k11, k12, k21, k22))
+    record, rest = k11 + k12, k21 + k22
+    if rate_known:
+        cells = [(k11, (k11 / record) / (k21 / rest)), (k12, (k12 / record) / (k22 / rest))]
+    else:
+        total, with_term, without = record + rest, k11 + k21, k12 + k22
+        cells = [(k11, k11 * total / (record * with_term)), (k12, k12 * total / (record * without)), (k21, k21 * total / (rest * with_term)), (k22, k22 * total / (rest * without))]
+    g = 2 * reduce(Column.__add__, [F.when(k > 0, k * F.ln(ratio)).otherwise(0.0) for k, ratio in cells])
+    return F.when(k11 * rest < k21 * record, -g).otherwise(g)
 
 
 def document_records(postings: DataFrame) -> DataFrame:
@@ -72,7 +79,7 @@ def _best(weighed: DataFrame, weight: Column) -> DataFrame:
 
 
 def most_characteristic(postings: DataFrame, term_info: DataFrame, documents: DataFrame) -> DataFrame:
-    """(record_kind, collection, record_id, term_id, weight): each query's and document's most characteristic term, by rate.
+    """(record_kind, collection, record_id, term_id, weight): each query's and document's most characteristic term, at known rates.
 
     postings, term_info, documents: as the tables of these names. Only terms in at least two
     documents of the collection count; records without one are left out. Repeated rows count
@@ -81,7 +88,7 @@ def most_characteristic(postings: DataFrame, term_info: DataFrame, documents: Da
     tables give no rows.
     """
     rates = cut(term_rates(postings, documents))
-    weight = log_likelihood_of_rate(F.col("f"), F.col("n"), F.col("of"))
+    weight = log_likelihood_ratio(F.col("f"), F.lit(0), F.col("n"), F.col("of") - F.col("n"), rate_known=True) / 2
     texts = _best(_look_up(document_records(postings), rates), weight)
     return texts.unionByName(_best(skew_join(query_records(term_info), rates, _TERM), weight))
 
@@ -120,7 +127,7 @@ def _totals(terms: DataFrame) -> DataFrame:
 def _documents_by_counts(once: DataFrame, terms: DataFrame) -> DataFrame:
     lengths = once.groupBy("collection", "record_id").agg(F.sum("f").alias("w_d"))
     counted = _look_up(once, terms.join(_totals(terms), "collection")).join(lengths, ["collection", "record_id"])
-    f, w, c, t = (F.col(x).cast("double") for x in ("f", "w_d", "in_all", "of_all"))
+    f, w, c, t = (F.col(x) for x in ("f", "w_d", "in_all", "of_all"))
     llr = log_likelihood_ratio(f, w - f, c - f, t - w - c + f)
     return _best(counted.withColumn("record_kind", F.lit("document")), llr)
 
@@ -128,5 +135,5 @@ def _documents_by_counts(once: DataFrame, terms: DataFrame) -> DataFrame:
 def _queries_by_counts(records: DataFrame, terms: DataFrame) -> DataFrame:
     lengths = records.groupBy("collection", "record_id").agg(F.sum("f").alias("w_d"))
     counted = skew_join(records, terms, _TERM, "left").join(lengths, ["collection", "record_id"]).join(_totals(terms), "collection", "left")
-    f, w, c, t = (F.coalesce(x, F.lit(0)).cast("double") for x in ("f", "w_d", "in_all", "of_all"))
+    f, w, c, t = (F.coalesce(x, F.lit(0)) for x in ("f", "w_d", "in_all", "of_all"))
     return _best(counted, log_likelihood_ratio(f, w - f, c, t - c))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexisift.llm.burst_trie import CONTAINER, BurstTrie, route
+from lexisift.llm.burst_trie import CONTAINER, BurstTrie, decided, route
 from lexisift.operators.checkpoints import cut
 
 #: A task counts so many rows at once before they go into its tries.
@@ -19,10 +20,8 @@ CHUNK_ROWS = 500_000
 HELD_TERMS = 2_000_000
 #: A prefix with more entries than this, over all tasks, is split by its next character ...
 ROUTE_ENTRIES = 100_000
-#: ... unless that made more than about this many routes for each length.
-MOST_ROUTES = 4096
-#: Characters of the longest route.
-DEEPEST = 12
+#: ... or, beyond ROUTE_ENTRIES * MOST_ROUTES entries in all, with more than the total / MOST_ROUTES: this bounds the table of prefixes.
+MOST_ROUTES = 65_536
 
 _GROUP = "__group"
 _SUBTREE = T.StructType(
@@ -79,13 +78,41 @@ def _local(batches: Iterator[pa.RecordBatch], chunk_rows: int, held_terms: int,
     yield from out()
 
 
-def _heavy_prefixes(subtrees: DataFrame) -> frozenset[str]:
-    """The prefixes that are split further. At most MOST_ROUTES for each length reach the driver."""
-    sizes = subtrees.select("prefix", F.size("rests").alias("n")).groupBy("prefix").agg(F.sum("n").alias("n"))
-    lengths = F.sequence(F.lit(0), F.least(F.length("prefix"), F.lit(DEEPEST)))
-    begins = sizes.select("n", F.explode(lengths).alias("i"), "prefix").groupBy(F.expr("substring(prefix, 1, i)").alias("begin"), "i").agg(F.sum("n").alias("n"))
-    total = subtrees.agg(F.sum(F.size("rests"))).first()[0] or 0
-    return frozenset(r["begin"] for r in begins.filter(F.col("n") > max(ROUTE_ENTRIES, total // MOST_ROUTES)).select("begin").collect())
+def _branches(subtrees: DataFrame) -> dict[str, int]:
+    """For each prefix with too many entries for one route, how many characters all its containers' prefixes share.
+
+    Level by level: the prefixes that are too large are counted by the character behind the
+    shared ones, so that characters that don't branch cost nothing, however many they are. A
+    level is one pass over the containers' prefixes. The driver receives the large prefixes only.
+    """
+    sizes = cut(subtrees.groupBy("prefix").agg(F.sum(F.size("rests")).alias("n")))
+    all_ = sizes.agg(F.sum("n").alias("n"), F.min("prefix").alias("low"), F.max("prefix").alias("high")).first()
+    limit = max(ROUTE_ENTRIES, (all_["n"] or 0) // MOST_ROUTES)
+    found: dict[str, int] = {}
+    large = {"": all_} if (all_["n"] or 0) > limit else {}
+    while large:
+        found |= {prefix: len(commonprefix([r["low"], r["high"]])) for prefix, r in large.items()}
+        frontier = {p: found[p] for p in large}
+
+        def below(batches: Iterator[pa.RecordBatch], branches=dict(found), frontier=frontier) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                prefixes, counts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                to = [decided(p, branches) for p in prefixes]
+                rows = [(t, p, n) for t, p, n in zip(to, prefixes, counts) if t is not None and _parent(t, branches) in frontier]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], names=["child", "prefix", "n"])
+
+        counted = sizes.mapInArrow(below, "child string, prefix string, n bigint").groupBy("child").agg(F.sum("n").alias("n"), F.min("prefix").alias("low"), F.max("prefix").alias("high"))
+        large = {r["child"]: r for r in counted.filter(F.col("n") > limit).collect()}
+    return found
+
+
+def _parent(to: str, branches: dict[str, int]) -> str:
+    """The prefix in `branches` that the route `to` comes from."""
+    at = ""
+    while (following := to[: branches[at] + 1]) != to:
+        at = following
+    return at
 
 
 def count_terms(rows: DataFrame, keys: Sequence[str], term: str = "term", occurrences: str = "occurrences") -> DataFrame:
@@ -105,20 +132,20 @@ def count_terms(rows: DataFrame, keys: Sequence[str], term: str = "term", occurr
     told = rows.filter(F.col(term).isNotNull()).select(group.alias(_GROUP), F.col(term).cast("string").alias("term"), F.coalesce(F.col(occurrences), F.lit(0)).cast("bigint").alias("occurrences"))
     limits = CHUNK_ROWS, HELD_TERMS, CONTAINER
     subtrees = cut(told.mapInArrow(lambda batches: _local(batches, *limits), _SUBTREE))
-    heavy = _heavy_prefixes(subtrees)
+    branches = _branches(subtrees)
     routed_type = T.StructType([T.StructField("route", T.StringType()), *_SUBTREE.fields])
 
     def by_route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for g, prefix, rests, os, rs in zip(*(c.to_pylist() for c in b.columns)):
-                whole = route(prefix, heavy, DEEPEST)
-                if len(whole) < len(prefix) or len(prefix) >= DEEPEST or prefix not in heavy:
+                whole = decided(prefix, branches)
+                if whole is not None:
                     rows.append((whole, g, prefix, rests, os, rs))
                     continue
                 parts: dict[str, tuple[list, list, list]] = {}
                 for rest, o, r in zip(rests, os, rs):
-                    part = parts.setdefault(route(prefix + rest, heavy, DEEPEST), ([], [], []))
+                    part = parts.setdefault(route(prefix + rest, branches), ([], [], []))
                     for column, x in zip(part, (rest, o, r)):
                         column.append(x)
                 rows += [(to, g, prefix, *part) for to, part in parts.items()]

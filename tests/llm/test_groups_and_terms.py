@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexisift.llm import distinctiveness, frequencies, top_n
-from lexisift.llm.burst_trie import BurstTrie, route
+from lexisift.llm.burst_trie import BurstTrie, decided, route
 
 SCORES = "req_id bigint, collection string, qid bigint, doc_id bigint, score double, k string"
 REQUESTS = "collection string, qid bigint, k bigint, score string"
@@ -65,11 +65,32 @@ def test_trie(pairs, limit):
     assert got == expected
 
 
-@given(st.text("ab", max_size=8), st.frozensets(st.text("ab", max_size=4), max_size=8))
-def test_route(term, heavy):
-    to = route(term, heavy, 6)
-    assert term.startswith(to) and len(to) <= 6 and all(term[:i] in heavy for i in range(len(to)))
-    assert to not in heavy or to == term or len(to) == 6
+@given(st.text("ab", max_size=8), st.text("ab", max_size=4), st.integers(0, 3))
+def test_route(prefix, rest, more):
+    branches = {"": more, "a" * (more + 1): more + 1, "ab": 5}
+    to = route(prefix + rest, branches)
+    assert (prefix + rest).startswith(to) and (to not in branches or to == prefix + rest)
+    assert decided(prefix, branches) in (None, to)
+
+
+@pytest.mark.parametrize("before", ["https://www.some.host.example/a/longer/path/", "x" * 3000, ""])
+def test_routes_of_terms_behind_one_prefix(spark, monkeypatch, before):
+    """However long the prefix that all terms share, no route gets more than ROUTE_ENTRIES and a container of each task."""
+    monkeypatch.setattr(frequencies, "ROUTE_ENTRIES", 500)
+    monkeypatch.setattr(frequencies, "CONTAINER", 16)
+    tasks, made = 4, frequencies._branches
+    seen = []
+    monkeypatch.setattr(frequencies, "_branches", lambda subtrees: seen.append((subtrees, made(subtrees))) or seen[-1][1])
+    n = 1_000_000 if before.startswith("https") else 20_000
+    rows = spark.range(0, n, 1, tasks).selectExpr(f"concat('{before}', id % {n // 2}) AS term", "1 AS occurrences")
+    counted = frequencies.count_terms(rows, [])
+    assert counted.agg({"occurrences": "sum", "records": "sum", "term": "count"}).first().asDict() == {"sum(occurrences)": n, "sum(records)": n, "count(term)": n // 2}
+    subtrees, branches = seen[0]
+    sizes = Counter()
+    for r in subtrees.select("prefix", "rests").collect():
+        for x in r["rests"]:
+            sizes[route(r["prefix"] + x, branches)] += 1
+    assert max(sizes.values()) <= 500 + 16 * tasks and len(branches) >= 10
 
 
 @pytest.mark.parametrize("entries, held, chunk", [(100_000, 2_000_000, 500_000), (3, 40, 50)])
