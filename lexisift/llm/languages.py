@@ -6,9 +6,8 @@ import html
 import re
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,79 +17,80 @@ from lexisift.llm.language_model import MOST_SAMPLES, Model, fit
 MOST_DOCUMENTS = 60
 #: ... none longer than so many characters.
 MOST_CHARS = 20_000
-#: A sentence longer than this is judged in parts, as if they were sentences.
-SENTENCE_CHARS = 20_000
-#: Characters judged at once.
-BATCH_CHARS = 300_000
 #: A sentence judged with less confidence takes the language of the one before it, or else after it.
 UNSURE = 0.5
-#: Names of languages by ISO 639-1 code: the ISO 639-2 codes, the name in English and in the language.
-NAMES = {
-    "de": "ger deu german deutsch",
-    "en": "eng english",
-    "es": "spa spanish español espanol castellano",
-    "fr": "fre fra french français francais",
-    "it": "ita italian italiano",
-    "nl": "dut nld dutch nederlands flemish",
-    "pt": "por portuguese português portugues",
+#: The ISO 639-2 codes that differ from ISO 639-3, by ISO 639-1 code, and further names of some languages.
+MORE_NAMES = {
+    "bo": "tib", "cs": "cze", "cy": "wel", "de": "ger", "el": "gre", "es": "castellano espanol castilian", "eu": "baq", "fa": "per", "fr": "fre francais", "hy": "arm", "is": "ice",
+    "ka": "geo", "mi": "mao", "mk": "mac", "ms": "may", "my": "bur", "nl": "dut flemish vlaams", "pt": "portugues", "ro": "rum moldavian", "sk": "slo", "sq": "alb", "zh": "chi",
 }
 
-_BREAK = re.compile(r"(?<=[.!?…])[\"”»’)\]]*\s+|\n+")
+_BREAK = re.compile(r"[.!?…][\"”»’)\]]*\s+|\n+")
 _TAG = re.compile(r"<[a-zA-Z/!][^<>]{0,500}>")
 _SEGMENT = "doc_id bigint, seg_no bigint, lang string, confidence double, n_sentences bigint, begins bigint, n_segments bigint, label_lang string"
+_BLANKS = " \t\n\r\u00a0\u202f"
 
 
-def label_language(label: Column) -> Column:
-    """The ISO 639-1 code that a label names, null if it names none: codes, names, either with a region, in any case."""
-    table = F.create_map(*(F.lit(x) for code, names in NAMES.items() for name in [code, *names.split()] for x in (name, code)))
-    base = F.lower(F.regexp_replace(label, r"^[\s ]+|[\s ]+$", ""))
-    return F.coalesce(table[base], table[F.split(base, "[-_ ]")[0]])
+def language_names(spark: SparkSession, langs: Iterable[str] = ()) -> dict[str, str]:
+    """The code for each name of a language, in lower case: all ISO 639-1 codes, their three-letter codes, their names in English and in the language.
+
+    They are those of the JVM's table of languages, and MORE_NAMES. `langs`: the codes to
+    use; a language of the table that has one of them under another code gets that one.
+    """
+    jvm = spark.sparkContext._jvm
+    names: dict[str, str] = {}
+    for code in jvm.java.util.Locale.getISOLanguages():
+        locale = jvm.java.util.Locale.forLanguageTag(code)
+        own = [code, locale.getISO3Language(), locale.getDisplayLanguage(jvm.java.util.Locale.ENGLISH), locale.getDisplayLanguage(locale), *MORE_NAMES.get(code, "").split()]
+        for name in own:
+            names.setdefault(name.lower(), locale.getLanguage())
+    used = {names.get(lang.lower(), lang): lang for lang in langs}
+    return {name: used.get(code, code) for name, code in names.items()} | {lang.lower(): lang for lang in langs}
+
+
+def label_language(label: str | None, names: dict[str, str]) -> str | None:
+    """The code that a label names, none if it names no language: codes and names, also with a region, in any case."""
+    base = (label or "").strip(_BLANKS).lower()
+    return names.get(base) or names.get(re.split("[-_ ]", base, maxsplit=1)[0])
 
 
 def sentences(text: str) -> Iterator[tuple[int, str]]:
     """Where each sentence begins in `text`, and the sentence without markup. All of the text is in one of them.
 
     A sentence ends at a full stop, question or exclamation mark with blanks behind it, or
-    at a line end or tag.
+    at a line end or tag; it may have any length.
     """
-    plain = _TAG.sub(lambda m: "\n" * len(m[0]), text)
+    plain = _TAG.sub(lambda m: "\n" * len(m[0]), text) if "<" in text else text
     at = 0
     for m in [*_BREAK.finditer(plain), None]:
         end = m.end() if m else len(plain)
-        for i in range(at, end, SENTENCE_CHARS):
-            piece = plain[i : min(end, i + SENTENCE_CHARS)]
-            if not piece.isspace():
-                yield i, html.unescape(piece)
+        piece = plain[at:end]
+        if piece and not piece.isspace():
+            yield at, html.unescape(piece) if "&" in piece else piece
         at = end
 
 
-def judged(model: Model, texts: Iterable[str]) -> Iterator[list[tuple[int, str, float]]]:
+def judged(model: Model, texts: Iterable[str | None]) -> list[list[tuple[int, str, float]]]:
     """For each text, (begin, language, confidence) of each of its sentences that has letters."""
-    waiting: list[tuple[int, int, str]] = []
     done: list[list[tuple[int, str, float]]] = []
-    chars = 0
-
-    def judge() -> None:
-        langs, sure = model.predict([s for _, _, s in waiting])
-        for (of, at, _), lang, c in zip(waiting, langs, sure.tolist()):
-            if lang:
-                done[of].append((at, lang, c))
-        waiting.clear()
-
+    told, begins, of = [], [], []
     for text in texts:
-        done.append([])
         for at, s in sentences(text or ""):
-            waiting.append((len(done) - 1, at, s))
-            chars += len(s)
-            if chars >= BATCH_CHARS:
-                judge()
-                chars = 0
-    judge()
-    yield from done
+            told.append(s)
+            begins.append(at)
+            of.append(len(done))
+        done.append([])
+    langs, sure = model.predict(told)
+    for i, at, lang, c in zip(of, begins, langs, sure.tolist()):
+        if lang:
+            done[i].append((at, lang, c))
+    return done
 
 
 def segments(found: list[tuple[int, str, float]]) -> list[tuple[int, str, float, int]]:
     """(begin, language, confidence, sentences) of each maximal run of sentences in one language; the confidence is their mean."""
+    if len({lang for _, lang, _ in found}) == 1:  # most texts
+        return [(found[0][0], found[0][1], sum(c for _, _, c in found) / len(found), len(found))]
     sure = [lang if c >= UNSURE else None for _, lang, c in found]
     for i in range(1, len(sure)):
         sure[i] = sure[i] or sure[i - 1]
@@ -103,7 +103,7 @@ def segments(found: list[tuple[int, str, float]]) -> list[tuple[int, str, float,
             out[-1][2].append(c)
         else:
             out.append([at, lang, [c]])
-    return [(at, lang, float(np.mean(cs)), len(cs)) for at, lang, cs in out]
+    return [(at, lang, sum(cs) / len(cs), len(cs)) for at, lang, cs in out]
 
 
 def fit_model(documents: DataFrame, samples: DataFrame) -> Model:
@@ -119,9 +119,15 @@ def fit_model(documents: DataFrame, samples: DataFrame) -> Model:
     few = samples.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("i", number).filter(F.col("i") <= MOST_SAMPLES).orderBy("lang", "i").collect()
     told = [(r["lang"], r["text"]) for r in few]
     first = fit(told)
-    coded = documents.select("doc_id", "text", label_language(F.col("lang")).alias("code")).filter(F.col("code").isin(first.langs) & (F.length("text") <= MOST_CHARS))
-    drawn = coded.select("doc_id", "code").withColumn("i", F.row_number().over(Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("i") <= MOST_DOCUMENTS)
-    rows = coded.join(F.broadcast(drawn.select("doc_id", "i")), "doc_id").collect()  # MOST_DOCUMENTS of each language
+    names = {name: code for name, code in language_names(documents.sparkSession, first.langs).items() if code in first.langs}
+    if not names:
+        return first
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))  # some names of each language of the samples
+    base = F.lower(F.trim("lang", F.lit(_BLANKS)))
+    code = F.coalesce(table[base], table[F.split(base, "[-_ ]")[0]])
+    coded = documents.filter((F.length("text") <= MOST_CHARS) & F.col("doc_id").isNotNull()).select("doc_id", "text", code.alias("code")).filter("code IS NOT NULL")
+    order = Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id")  # cut per task before the shuffle
+    rows = coded.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= MOST_DOCUMENTS).collect()  # of each language
     rows.sort(key=lambda r: (r["code"], r["i"]))
     taken = [(r["code"], s) for r in rows for _, s in sentences(r["text"])]
     langs, _ = first.predict([s for _, s in taken])
@@ -134,29 +140,30 @@ def language_segments(documents: DataFrame, model: Model) -> DataFrame:
     documents: (doc_id, text, lang, ...). A segment is a maximal run of whole sentences in one
     language, numbered from 0; `begins` is its first character, `confidence` from 0 to 1,
     `label_lang` the code that the document's label names. A document in one language is
-    one segment. Quoted titles inside a sentence don't count for its language. Texts that
-    are null, empty or without Latin letters have no segment; documents with a null
-    `doc_id` are left out. Whole texts are judged, each task its own rows; nothing is
-    shuffled.
+    one segment. Quoted titles inside a sentence don't count for its language, unless the
+    sentence is nothing else. Texts that are null, empty or without letters have no segment;
+    documents with a null `doc_id` are left out. Whole texts are judged, each task its own
+    rows; nothing is shuffled.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # fixed by its parameters, about 1 MB
-    names = [x.split()[0] for x in _SEGMENT.split(", ")]
+    spark = documents.sparkSession
+    shared = spark.sparkContext.broadcast((model, language_names(spark, model.langs)))  # fixed by its parameters, some MB
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    columns = [x.split()[0] for x in _SEGMENT.split(", ")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted, names = shared.value
         for b in batches:
             for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
                 ids, texts, labels = (c.to_pylist() for c in part.columns)
                 rows = []
-                for doc_id, label, found in zip(ids, labels, judged(shared.value, texts)):
-                    runs = segments(found)
-                    rows += [(doc_id, i, lang, c, n, at, len(runs), label) for i, (at, lang, c, n) in enumerate(runs)]
+                for doc_id, label, found in zip(ids, labels, judged(fitted, texts)):
+                    if found:
+                        runs, code = segments(found), label_language(label, names)
+                        rows += [(doc_id, i, lang, c, n, at, len(runs), code) for i, (at, lang, c, n) in enumerate(runs)]
                 if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], _ARROW)
-
-    return documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", label_language(F.col("lang")).alias("label_lang")).mapInArrow(task, _SEGMENT)
-
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=columns)
 
-_ARROW = pa.schema([(n, pa.string() if n in ("lang", "label_lang") else pa.float64() if n == "confidence" else pa.int64()) for n in (x.split()[0] for x in _SEGMENT.split(", "))])
+    return documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang").mapInArrow(task, _SEGMENT)
 
 
 def wrongly_labelled(found: DataFrame) -> DataFrame:

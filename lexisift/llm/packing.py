@@ -85,9 +85,16 @@ def pack(documents: DataFrame, capacity: int, vocabulary: str = VOCABULARY) -> D
 
 
 def fill(packed: DataFrame, capacity: int) -> DataFrame:
-    """(n_containers, n_documents, n_pieces, tokens, fill): one row, how full the containers are; `fill` is null if there are none."""
-    containers = packed.groupBy("container_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"), F.count_if(F.col("piece") == 0).alias("documents"))
+    """(n_containers, n_documents, n_pieces, tokens, fill, mean_cost, highest_cost): one row, how full the containers are and how even their costs.
+
+    A container's cost is that by which assign() balances. `fill` and costs are null if there
+    are no containers.
+    """
+    cost = LINEAR * F.col("tokens") + F.col("tokens") * F.col("tokens") / capacity
+    containers = packed.groupBy("container_id").agg(
+        F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"), F.count_if(F.col("piece") == 0).alias("documents"), F.sum(cost).alias("cost")
+    )
     return containers.agg(
         F.count("*").alias("n_containers"), F.coalesce(F.sum("documents"), F.lit(0)).alias("n_documents"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("n_pieces"),
-        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), (F.sum("tokens") / (F.count("*") * capacity)).alias("fill"),
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.try_divide(F.sum("tokens"), F.count("*") * capacity).alias("fill"), F.avg("cost").alias("mean_cost"), F.max("cost").alias("highest_cost"),
     )
