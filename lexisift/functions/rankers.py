@@ -34,33 +34,35 @@ class Stats:
 
 @dataclass(frozen=True)
 class Ranker:
-    contribution: Callable[[Stats], Column]
+    """contribution: per unit and document; doc_weight: per document; of_unit: what depends on the unit alone, worked out once for each unit of a query and not for each of its documents. It is given to `contribution` as its second argument."""
+
+    contribution: Callable[[Stats, Column], Column]
     doc_weight: Callable[[Stats], Column] | None = None
+    of_unit: Callable[[Stats], Column] | None = None
 
 
 def bm25(k1: float = 1.2, b: float = 0.75) -> Ranker:
     """Okapi BM25. A unit in half of the documents or more still contributes a little: its weight is 1e-6 at least."""
 
-    def contribution(s: Stats) -> Column:
-        weight = F.greatest(F.lit(1e-6), F.ln((s.n_docs - s.dfreq + 0.5) / (s.dfreq + 0.5)) * s.f_qt)
-        return weight * ((k1 + 1) * s.f_dt / (k1 * ((1 - b) + b * s.w_d / s.avgdl) + s.f_dt))
+    def of_unit(s: Stats) -> Column:
+        return (k1 + 1) * F.greatest(F.lit(1e-6), F.ln((s.n_docs - s.dfreq + 0.5) / (s.dfreq + 0.5)) * s.f_qt)
 
-    return Ranker(contribution)
+    return Ranker(lambda s, w: w * (s.f_dt / (k1 * ((1 - b) + b * s.w_d / s.avgdl) + s.f_dt)), of_unit=of_unit)
 
 
 def lmds(mu: float = 2500.0) -> Ranker:
     """Language model with Dirichlet smoothing; f_qt isn't used, scores may be negative."""
-    return Ranker(lambda s: F.ln(1 + (s.f_dt / mu) * (s.n_symbols / s.cfreq)), lambda s: F.ln(mu / (mu + s.w_d)))
+    return Ranker(lambda s, w: F.log1p(s.f_dt * w), lambda s: F.ln(mu / (mu + s.w_d)), lambda s: s.n_symbols / s.cfreq / mu)
 
 
 def tfidf() -> Ranker:
     """Logarithmic tf-idf by document length; f_qt isn't used."""
-    return Ranker(lambda s: (1 / s.w_d) * (1 + F.ln(s.f_dt)) * F.ln(1 + s.n_docs / s.dfreq))
+    return Ranker(lambda s, w: (1 / s.w_d) * (1 + F.ln(s.f_dt)) * w, of_unit=lambda s: F.ln(1 + s.n_docs / s.dfreq))
 
 
 def freq() -> Ranker:
     """Occurrences in the document."""
-    return Ranker(lambda s: s.f_dt)
+    return Ranker(lambda s, w: s.f_dt)
 
 
 #: bm25_simple_est differs from bm25 in the bounds of a search tree only; its scores are the same.

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lexisift.operators.checkpoints import cut, written
+from lexisift.operators.skew import skew_join
+
+#: Terms of a dictionary that are broadcast at most, about 60 bytes each; beyond it a skew-safe shuffle join is used.
+BROADCAST_TERMS = 1_000_000
 #: A term: a maximal run of letters or digits.
 TERM = r"([\p{L}\p{N}]+)"
 #: What NFC may replace: combining marks, Hangul parts, and signs with a preferred form.
@@ -85,10 +90,11 @@ def term_stats(lists: DataFrame, term: str = "term") -> DataFrame:
 
 
 def collection_info(documents: DataFrame) -> DataFrame:
-    """(collection, n_symbols, n_docs, n_terms, avg_len): `avg_len` is the whole part of n_symbols / n_docs."""
-    sizes = collection_stats(doc_lengths(documents))
-    distinct = tokens(documents).select("collection", "term").distinct().groupBy("collection").agg(F.count("*").alias("n_terms"))
-    return sizes.join(distinct, "collection", "left").select(
+    """(collection, n_symbols, n_docs, n_terms, avg_len): `avg_len` is the whole part of n_symbols / n_docs. Texts are read once."""
+    per_term = tokens(documents).groupBy("collection", "term").agg(F.count("*").alias("n"))
+    counted = per_term.groupBy("collection").agg(F.count("*").alias("n_terms"), F.sum("n").alias("n"))
+    sizes = documents.filter("doc_id IS NOT NULL").groupBy("collection").agg(F.count("*").alias("n_docs")).join(counted, "collection", "left")
+    return sizes.withColumn("n_symbols", F.coalesce("n", F.lit(0)) + F.col("n_docs") + 1).select(
         "collection", "n_symbols", "n_docs", F.coalesce("n_terms", F.lit(0)).alias("n_terms"), F.expr("n_symbols div n_docs").alias("avg_len")
     )
 
@@ -101,14 +107,17 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 def length_ranks(lengths: DataFrame) -> DataFrame:
     """(collection, doc_id, w_d, length_rank): documents renumbered from 0 by (w_d, doc_id).
 
-    A window over a collection would bring all its documents into one task. Instead the
-    documents of equal length are numbered, and the number of shorter ones, from the much
-    smaller histogram, is added.
+    A window over a collection, or over the documents of a common length, would bring them
+    into one task. Instead the documents are range-partitioned in that order; each is numbered
+    within its partition, and the number of those of its collection in earlier partitions is
+    added. Read twice, so the ordered rows are written once.
     """
-    histogram = length_histogram(lengths)
-    before = histogram.select("collection", "w_d", F.coalesce(F.sum("n_docs").over(Window.partitionBy("collection").orderBy("w_d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shorter"))
-    within = lengths.withColumn("i", F.row_number().over(Window.partitionBy("collection", "w_d").orderBy("doc_id")) - 1)
-    return within.join(before, ["collection", "w_d"]).select("collection", "doc_id", "w_d", (F.col("i") + F.col("shorter")).cast("bigint").alias("length_rank"))
+    order = ["collection", "w_d", "doc_id"]
+    placed = lengths.select(*order).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    within = cut(placed.withColumn("i", F.row_number().over(Window.partitionBy("part", "collection").orderBy("w_d", "doc_id")) - 1))
+    earlier = Window.partitionBy("collection").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    before = within.groupBy("collection", "part").agg(F.count("*").alias("n")).select("collection", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return within.join(before, ["collection", "part"]).select("collection", "doc_id", "w_d", (F.col("i") + F.col("before")).cast("bigint").alias("length_rank"))
 
 
 def ngrams(documents: DataFrame, n: int) -> DataFrame:
@@ -116,3 +125,36 @@ def ngrams(documents: DataFrame, n: int) -> DataFrame:
     at = F.sequence(F.lit(1), F.size("terms") - (n - 1))
     grams = documents_terms(documents).filter(F.size("terms") >= n).select("collection", F.explode(F.transform(at, lambda i: F.slice("terms", i, n))).alias("gram"))
     return grams.groupBy("collection", "gram").agg(F.count("*").alias("n_occurrences"))
+
+
+def terms_and_pairs(documents: DataFrame) -> DataFrame:
+    """(collection, first, second, n): how often each term occurs, `second` being null, and each two neighbouring terms. Texts are read once."""
+    at = F.sequence(F.lit(1), F.size("terms"))
+    pair = lambda i: F.struct(F.element_at("terms", i).alias("first"), F.get("terms", i).alias("second"))  # noqa: E731  get counts from 0
+    with_next = F.transform(at, pair)
+    alone = F.transform("terms", lambda t: F.struct(t.alias("first"), F.lit(None).cast("string").alias("second")))
+    rows = documents_terms(documents).filter(F.size("terms") > 0).select("collection", F.inline(F.concat(alone, F.filter(with_next, lambda x: x["second"].isNotNull()))))
+    return rows.groupBy("collection", "first", "second").agg(F.count("*").alias("n"))
+
+
+def positions(documents: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(collection, term_id, doc_id, positions, w_d): where each term stands in each document, from 0, in ascending order.
+
+    dictionary: (term, term_id), unique; terms that it lacks are left out, but count for
+    w_d. Documents that are partitioned by doc_id are not shuffled again.
+    """
+    each = documents_terms(documents).select("collection", "doc_id", F.posexplode("terms").alias("pos", "term"))
+    placed = with_lengths(each.groupBy("collection", "doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions")), F.size("positions"))
+    known = dictionary.select("term", "term_id")
+    told = placed.join(F.broadcast(known), "term") if known.count() <= BROADCAST_TERMS else skew_join(written(placed), known, ["term"])
+    return told.select("collection", "term_id", "doc_id", "positions", "w_d")
+
+
+def with_lengths(lists: DataFrame, f_dt: Column | None = None) -> DataFrame:
+    """`lists`, a row per document and term, with w_d: the sum of the document's f_dt, and one.
+
+    f_dt: occurrences, the column of this name if not given. A document's rows meet in one
+    task: they are as many as it has different terms.
+    """
+    of_document = Window.partitionBy("collection", "doc_id")
+    return lists.withColumn("w_d", (F.sum(F.col("f_dt") if f_dt is None else f_dt).over(of_document) + 1).cast("bigint"))

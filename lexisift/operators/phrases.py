@@ -8,42 +8,51 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexisift.operators.checkpoints import cut
+from lexisift.operators.search import BROADCAST_UNITS, meet, of_terms
 from lexisift.operators.skew import skew_join
 
-#: Phrases that are broadcast at most, about 200 bytes each.
-BROADCAST_PHRASES = 100_000
+_PLACE = ["collection", "unit", "doc_id"]
+_TERM = ["collection", "term_id"]
 
 
-def phrase_postings(documents: DataFrame, phrases: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(collection, unit, doc_id, f_dt): the documents that hold each phrase, and how often, overlaps included.
+def phrase_postings(positions: DataFrame, terms: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(collection, unit, doc_id, f_dt, w_d): the documents that hold each phrase, and how often, overlaps included. Computed once.
 
-    documents: (collection, doc_id, terms), terms being an array in the order of the text;
-    phrases: (collection, unit), a unit being an array of term ids of any length from 1;
-    dictionary: (term, term_id), unique. A phrase with an id that the dictionary lacks
-    occurs nowhere.
+    positions: (collection, term_id, doc_id, positions, w_d), where each term stands in each
+    document, in ascending order; terms: (collection, term_id, dfreq, ...), their statistics;
+    phrases: (collection, unit), a unit being an array of term ids of any length from 1. A
+    phrase with a null id, or one that occurs nowhere, has no row. No text is read.
 
-    Each document gives its runs of neighbouring terms, of the lengths that the phrases have,
-    and only those that are phrases stay: the work is tokens times lengths, whatever the
-    number of phrases. Up to BROADCAST_PHRASES they are broadcast and no run is shuffled;
-    beyond that the join is skew_join.
+    A phrase starts from its rarest term: the documents of that one, with the places where the
+    phrase would begin, are found first. They meet the positions of its other terms, and
+    those beginnings stay that all terms agree on. Terms and documents are met as in a search.
     """
-    units = phrases.select("collection", "unit").distinct().filter(F.size("unit") > 0)
-    steps = units.select("collection", "unit", F.posexplode("unit").alias("i", "term_id")).join(dictionary.select("term_id", "term"), "term_id")
-    words = F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))), lambda x: x["term"])
-    spelled = steps.groupBy("collection", "unit").agg(words.alias("words")).filter(F.size("words") == F.size("unit"))
-    wanted = cut(spelled.select("collection", "unit", F.array_join("words", " ").alias("gram"), F.size("words").alias("n")))
-    lengths = [r["n"] for r in wanted.select("n").distinct().collect()]  # bounded by the length of a query
-    runs = documents.select("collection", "doc_id", "terms", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("n")).filter(F.size("terms") >= F.col("n"))
-    begins = F.sequence(F.lit(1), F.size("terms") - F.col("n") + 1)
-    grams = runs.select("collection", "doc_id", F.explode(F.transform(begins, lambda b: F.array_join(F.slice("terms", b, F.col("n")), " "))).alias("gram"))
-    few = wanted.drop("n")
-    if few.count() <= BROADCAST_PHRASES:
-        found = grams.join(F.broadcast(few), ["collection", "gram"])
-    else:
-        found = skew_join(grams, few, ["collection", "gram"])
-    return found.groupBy("collection", "unit", "doc_id").agg(F.count("*").alias("f_dt"))
+    units = phrases.select("collection", "unit").filter((F.size("unit") > 0) & ~F.exists("unit", lambda x: x.isNull())).distinct()
+    steps = units.select("collection", "unit", F.posexplode("unit").alias("i", "term_id"))
+    each = Window.partitionBy("collection", "unit")
+    counted = meet(terms.select(*_TERM, "dfreq"), steps, _TERM, steps.count())
+    whole = counted.withColumn("n", F.count("*").over(each)).filter(F.col("n") == F.size("unit"))  # every id occurs
+    ranked = cut(whole.withColumn("rarity", F.row_number().over(each.orderBy("dfreq", "i"))).withColumn("unit", F.array_join("unit", " ")).select("collection", "unit", "term_id", "i", "n", "rarity"))
+    size = ranked.count()
+
+    def begins(of: DataFrame, name: str) -> DataFrame:
+        told = meet(of_terms(positions, of).select(*_TERM, "doc_id", "positions", "w_d"), of, _TERM, size)
+        return told.select(*_PLACE, "w_d", "n", F.transform("positions", lambda p: (p - F.col("i")).cast("int")).alias(name))
+
+    first = cut(begins(ranked.filter("rarity = 1"), "begins"))
+    others = begins(ranked.filter("rarity > 1"), "more").select(*_PLACE, "more")
+    if first.count() <= BROADCAST_UNITS:  # else the others' documents meet them in the grouping only
+        others = others.join(F.broadcast(first.select(*_PLACE)), _PLACE, "left_semi")
+    both = first.select(*_PLACE, "w_d", "n", "begins", F.lit(None).cast("array<int>").alias("more")).unionByName(
+        others.select(*_PLACE, F.lit(None).cast("int").alias("w_d"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<int>").alias("begins"), "more")
+    )
+    met = both.groupBy(*_PLACE).agg(F.max("w_d").alias("w_d"), F.max("n").alias("n"), F.first("begins", True).alias("begins"), F.collect_list("more").alias("more"))
+    agreed = met.filter(F.size("more") == F.col("n") - 1).withColumn("begins", F.aggregate("more", F.col("begins"), F.array_intersect))
+    ids = F.split("unit", " ").cast("array<bigint>")
+    return cut(agreed.filter(F.size("begins") > 0).select("collection", ids.alias("unit"), "doc_id", F.size("begins").cast("bigint").alias("f_dt"), F.col("w_d").cast("bigint").alias("w_d")))
 
 
 def segment(ids: Sequence[int], count: Callable[[int, int], int], size: int, threshold: float) -> list[tuple[int, int]]:
@@ -59,11 +68,10 @@ def segment(ids: Sequence[int], count: Callable[[int, int], int], size: int, thr
     parts, start, n = [], 0, len(ids)
 
     def ratio(b: int, e: int) -> float:
-        joint = count(b, e)
-        if not joint:
+        joint, singles = count(b, e), [count(i, i + 1) for i in range(b, e)]
+        if not joint or not all(singles):
             return -math.inf
-        singles = sum(math.log(count(i, i + 1) / size) for i in range(b, e))
-        return math.log(joint / size) - singles - math.log(count(e - 1, e) / size)
+        return math.log(joint / size) - sum(math.log(n / size) for n in singles) - math.log(singles[-1] / size)
 
     while start < n:
         reached, end = False, None
@@ -83,48 +91,73 @@ def segment(ids: Sequence[int], count: Callable[[int, int], int], size: int, thr
 
 def spans(queries: DataFrame) -> DataFrame:
     """(collection, unit): every run of neighbouring ids of the queries (collection, qid, ids), distinct."""
-    n = F.size("ids")
-    begins = queries.filter(n > 0).select("collection", "ids", F.explode(F.sequence(F.lit(1), n)).alias("b"))
+    begins = queries.filter(F.size("ids") > 0).select("collection", "ids", F.explode(F.sequence(F.lit(1), F.size("ids"))).alias("b"))
     runs = begins.select("collection", "ids", "b", F.explode(F.sequence(F.lit(1), F.size("ids") - F.col("b") + 1)).alias("n"))
     return runs.select("collection", F.slice("ids", F.col("b"), F.col("n")).alias("unit")).distinct()
 
 
-def segment_queries(queries: DataFrame, documents: DataFrame, stats: DataFrame, dictionary: DataFrame, threshold: float = 10.0) -> DataFrame:
+def count_spans(queries: DataFrame, positions: DataFrame, terms: DataFrame) -> DataFrame:
+    """(collection, unit, n): how often each span of the queries (collection, qid, ids) occurs, those that do.
+
+    Single ids are told by the statistics, then pairs are counted, then those longer spans
+    that only have neighbours that occur together somewhere: few of the many.
+    """
+    wanted = cut(spans(queries))
+    one = wanted.filter(F.size("unit") == 1).withColumn("term_id", F.col("unit")[0])
+    counts = meet(terms.select(*_TERM, F.col("cfreq").alias("n")), one, _TERM, one.count()).select("collection", "unit", "n")
+
+    def counted(of: DataFrame) -> DataFrame:
+        return cut(phrase_postings(positions, terms, of).groupBy("collection", "unit").agg(F.sum("f_dt").alias("n")))
+
+    pairs = counted(wanted.filter(F.size("unit") == 2))
+    longer = wanted.filter(F.size("unit") > 2)
+    neighbours = F.transform(F.sequence(F.lit(1), F.size("unit") - 1), lambda i: F.slice("unit", i, 2))
+    each = longer.select("collection", "unit", F.explode(F.array_distinct(neighbours)).alias("pair"))
+    known = each.join(pairs.select("collection", F.col("unit").alias("pair")), ["collection", "pair"]).groupBy("collection", "unit").agg(F.count("*").alias("n"))
+    possible = known.filter(F.col("n") == F.size(F.array_distinct(neighbours))).select("collection", "unit")
+    return counts.unionByName(pairs).unionByName(counted(possible))
+
+
+def segment_queries(queries: DataFrame, positions: DataFrame, terms: DataFrame, stats: DataFrame, threshold: float = 10.0) -> DataFrame:
     """(collection, qid, unit, f_qt): the phrases that each query (collection, qid, ids) is cut into, equal ones counted together.
 
-    Only spans of these queries are counted in the texts; the cutting runs where each query's
-    counts are. A query's spans grow with the square of its length, which parsing bounds.
-    documents: (collection, doc_id, terms); stats: (collection, n_symbols, ...).
+    queries may have a column `threshold` of their own, which holds where it isn't null.
+    Only spans of these queries are counted, from positions and terms as of phrase_postings();
+    the cutting runs where each query's counts are. A query's spans grow with the square of
+    its length. stats: (collection, n_symbols, ...).
     """
-    counts = phrase_postings(documents, spans(queries), dictionary).groupBy("collection", "unit").agg(F.sum("f_dt").alias("n"))
-    n = F.size("ids")
-    begins = queries.filter(n > 0).select("collection", "qid", "ids", F.explode(F.sequence(F.lit(1), n)).alias("b"))
-    runs = begins.select("collection", "qid", "ids", "b", F.explode(F.sequence(F.col("b") + 1, F.size("ids") + 1)).alias("e"))
+    own = F.coalesce(F.col("threshold") if "threshold" in queries.columns else F.lit(None), F.lit(threshold)).cast("double").alias("threshold")
+    asked = queries.filter(F.size("ids") > 0).select("collection", "qid", "ids", own)
+    counts = count_spans(asked, positions, terms)
+    begins = asked.select("*", F.explode(F.sequence(F.lit(1), F.size("ids"))).alias("b"))
+    runs = begins.select("*", F.explode(F.sequence(F.col("b") + 1, F.size("ids") + 1)).alias("e"))
     counted = runs.withColumn("unit", F.slice("ids", F.col("b"), F.col("e") - F.col("b"))).join(counts, ["collection", "unit"], "left")
-    per_query = counted.groupBy("collection", "qid", "ids").agg(F.collect_list(F.struct("b", "e", F.coalesce("n", F.lit(0)).alias("n"))).alias("counts"))
+    per_query = counted.groupBy("collection", "qid", "ids", "threshold").agg(F.collect_list(F.struct("b", "e", F.coalesce("n", F.lit(0)).alias("n"))).alias("counts"))
     told = per_query.join(stats.select("collection", "n_symbols"), "collection")
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for collection, qid, ids, found, size in zip(f["collection"], f["qid"], f["ids"], f["counts"], f["n_symbols"]):
+            for collection, qid, ids, least, found, size in zip(f["collection"], f["qid"], f["ids"], f["threshold"], f["counts"], f["n_symbols"]):
                 n_of = {(x["b"] - 1, x["e"] - 1): x["n"] for x in found}
-                parts = segment(ids, lambda b, e, n_of=n_of: n_of[b, e], size, threshold)
+                parts = segment(ids, lambda b, e, n_of=n_of: n_of[b, e], size, least)
                 rows += [(collection, qid, list(map(int, ids[b:e]))) for b, e in parts]
             yield pd.DataFrame(rows, columns=["collection", "qid", "unit"])
 
-    parts = told.mapInPandas(cut, "collection string, qid bigint, unit array<bigint>")
+    parts = told.mapInPandas(parted, "collection string, qid bigint, unit array<bigint>")
     return parts.groupBy("collection", "qid", "unit").agg(F.count("*").alias("f_qt"))
 
 
-def bigram_association(bigrams: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
-    """(collection, first, second, n_occurrences, association) of ngrams(documents, 2), by the measure that segment() uses.
+def bigram_association(grams: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """(collection, first, second, n_occurrences, association) by the measure that segment() uses.
 
-    terms: (collection, term, cfreq, ...); stats: (collection, n_symbols, ...).
+    grams: (collection, first, second, n), counts of terms, `second` being null, and of
+    neighbouring pairs, as of analyze.terms_and_pairs(); read several times. n_docs:
+    (collection, n_docs).
     """
-    pairs = bigrams.select("collection", F.col("gram")[0].alias("first"), F.col("gram")[1].alias("second"), "n_occurrences")
-    one = terms.select("collection", F.col("term").alias("first"), F.col("cfreq").alias("n_first"))
-    two = terms.select("collection", F.col("term").alias("second"), F.col("cfreq").alias("n_second"))
-    rows = skew_join(skew_join(pairs, one, ["collection", "first"]), two, ["collection", "second"]).join(stats.select("collection", "n_symbols"), "collection")
+    one = grams.filter("second IS NULL")
+    sizes = one.groupBy("collection").agg(F.sum("n").alias("n_terms")).join(n_docs, "collection").select("collection", (F.col("n_terms") + F.col("n_docs") + 1).alias("n_symbols"))
+    pairs = grams.filter("second IS NOT NULL").select("collection", "first", "second", F.col("n").alias("n_occurrences"))
+    rows = skew_join(skew_join(pairs, one.select("collection", "first", F.col("n").alias("n_first")), ["collection", "first"]), one.select("collection", F.col("first").alias("second"), F.col("n").alias("n_second")), ["collection", "second"])
     p = lambda c: F.ln(F.col(c) / F.col("n_symbols"))
-    return rows.select("collection", "first", "second", "n_occurrences", F.round(p("n_occurrences") - p("n_first") - 2 * p("n_second"), 6).alias("association"))
+    return rows.join(sizes, "collection").select("collection", "first", "second", "n_occurrences", F.round(p("n_occurrences") - p("n_first") - 2 * p("n_second"), 6).alias("association"))

@@ -69,6 +69,23 @@ def rejected(lines: DataFrame, dictionary: DataFrame | None, column: str = "line
     return unknown.unionByName(unreadable(lines, column, most_chars).drop(column))
 
 
+def in_order(lines: DataFrame, dictionary: DataFrame | None, column: str = "line") -> DataFrame:
+    """(other columns, qid, ids): the term ids of each query in the order of its line, without the queries that have an unknown token."""
+    queries = split_lines(lines, column, None)
+    keys = [c for c in queries.columns if c != "content"]
+    toks = queries.select(*keys, F.posexplode(F.split("content", " ", -1)).alias("at", "term"))
+    mapped = toks.withColumn("term_id", F.col("term").try_cast("bigint")) if dictionary is None else toks.join(dictionary.select("term", "term_id"), "term", "left")
+    each = mapped.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "term_id"))).alias("ids"))  # a line's tokens
+    return each.filter(~F.exists("ids", lambda x: x["term_id"].isNull())).withColumn("ids", F.transform("ids", lambda x: x["term_id"]))
+
+
+def premapped(lines: DataFrame, dictionary: DataFrame, column: str = "line") -> DataFrame:
+    """(other columns, line): the lines as a client sends them to a service of ids, `qid;id id ...`; queries with an unknown token are left out."""
+    told = in_order(lines, dictionary, column)
+    others = [c for c in lines.columns if c != column]
+    return told.select(*others, F.concat_ws(";", F.col("qid").cast("string"), F.array_join(F.col("ids").cast("array<string>"), " ")).alias(column))
+
+
 def units(query_token: DataFrame, phrases: bool = True) -> DataFrame:
     """(collection, qid, unit, f_qt): what each parsed query looks for, a unit being an array of term ids.
 
@@ -86,5 +103,5 @@ def units(query_token: DataFrame, phrases: bool = True) -> DataFrame:
 def sample(queries: DataFrame, n: int, seed: int = 4711) -> DataFrame:
     """(collection, qid, term_ids): `n` queries of each collection drawn by a hash, with their distinct term ids in order."""
     ids = queries.groupBy("collection", "qid").agg(F.sort_array(F.collect_set("term_id")).alias("term_ids"))
-    order = Window.partitionBy("collection").orderBy(F.xxhash64("qid", F.lit(seed)), "qid")
+    order = Window.partitionBy("collection").orderBy(F.md5(F.concat_ws(" ", F.col("qid").cast("string"), F.lit(str(seed)))), "qid")
     return ids.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= n).drop("i")

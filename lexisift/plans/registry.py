@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexisift.plans import retrieval, skewed_keys
+from lexisift.plans import files, retrieval, skewed_keys
 
-_MODULES = (retrieval, skewed_keys)
+_MODULES = (retrieval, files, skewed_keys)
 
 
 def queries() -> dict:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexisift.operators import analyze, phrases, querying
 from lexisift.operators import search as searching
 from lexisift.operators.checkpoints import written
+from lexisift.plans.indexes import opened
 from lexisift.sources import exports
 from lexisift.sources.tables import spread, table
 
@@ -20,32 +21,12 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents"))
 
 
-def _lists(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.clean_postings(table(spark, d, "postings"))
-
-
-def _inputs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The index that a search reads: clean lists, lengths and statistics, each made once."""
-    lists = written(_lists(spark, d))
-    lengths = written(analyze.doc_lengths_of(lists, _documents(spark, d)))
-    return {"lists": lists, "lengths": lengths, "stats": analyze.collection_stats(lengths)}
-
-
-def _units(spark: SparkSession, d: str, with_phrases: bool = False) -> DataFrame:
+def units(spark: SparkSession, d: str, with_phrases: bool = False) -> DataFrame:
     return querying.units(table(spark, d, "query_token"), with_phrases)
 
 
-def _phrase_lists(spark: SparkSession, d: str) -> DataFrame:
-    wanted = _units(spark, d, True).filter(F.size("unit") > 1)
-    return phrases.phrase_postings(analyze.documents_terms(_documents(spark, d)), wanted, table(spark, d, "term_dict"))
-
-
 def _search(ranker: str, mode: str, k: int = K, with_phrases: bool = False) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        lists = _phrase_lists(spark, d) if with_phrases else None
-        return searching.search(_units(spark, d, with_phrases), **_inputs(spark, d), k=k, ranker=ranker, mode=mode, phrase_lists=lists)
-
-    return run
+    return lambda spark, d: opened(spark, d).search(units(spark, d, with_phrases), k, ranker, mode, with_phrases)
 
 
 def doc_lengths(spark, d):
@@ -82,11 +63,13 @@ def max_tf(spark, d):
 
 
 def list_max_score(spark, d):
-    return searching.list_bounds(**_inputs(spark, d)).select("collection", "term_id", "max_score")
+    c = opened(spark, d)
+    return searching.list_bounds(c.postings, c.terms, c.stats).select("collection", "term_id", "max_score")
 
 
 def max_doc_weight(spark, d):
-    return searching.list_bounds(**_inputs(spark, d), ranker="lmds").select("collection", "term_id", "max_doc_weight")
+    c = opened(spark, d)
+    return searching.list_bounds(c.postings, c.terms, c.stats, "lmds").select("collection", "term_id", "max_doc_weight")
 
 
 def length_histogram(spark, d):
@@ -135,18 +118,17 @@ def query_normalise(spark, d):
 
 
 def query_units(spark, d):
-    return _units(spark, d, True).select("collection", "qid", searching.unit_key(F.col("unit")).alias("unit"), "f_qt")
+    return units(spark, d, True).select("collection", "qid", searching.unit_key(F.col("unit")).alias("unit"), "f_qt")
 
 
 def query_sample(spark, d):
-    """Two fifths of the queries by a hash; which ones depends on Spark's hash function, so it has no SQL."""
-    return querying.sample(query_unknown_drop(spark, d), 100)
+    """100 queries of each collection by a hash, with their distinct term ids in order."""
+    drawn = querying.sample(query_unknown_drop(spark, d), 100)
+    return drawn.select("collection", "qid", F.array_join("term_ids", " ").alias("term_ids"))
 
 
 def _candidates(spark, d, mode, with_phrases=False):
-    given, units = _inputs(spark, d), _units(spark, d, with_phrases)
-    found = searching.unit_postings(given["lists"], units, written(_phrase_lists(spark, d)) if with_phrases else None)
-    return searching.candidates(units, found, given["lengths"], given["stats"], "freq", mode).select("collection", "qid", "doc_id", "n_matched")
+    return opened(spark, d).candidates(units(spark, d, with_phrases), "freq", mode, with_phrases).drop("score")
 
 
 def candidate_union(spark, d):
@@ -166,7 +148,7 @@ def phrase_candidate_intersection(spark, d):
 
 
 def phrase_postings(spark, d):
-    return _phrase_lists(spark, d).select("collection", searching.unit_key(F.col("unit")).alias("unit"), "doc_id", "f_dt")
+    return opened(spark, d).phrase_lists(units(spark, d, True)).select("collection", searching.unit_key(F.col("unit")).alias("unit"), "doc_id", "f_dt")
 
 
 def bigram_counts(spark, d):
@@ -174,27 +156,32 @@ def bigram_counts(spark, d):
 
 
 def bigram_association(spark, d):
-    return phrases.bigram_association(written(analyze.ngrams(_documents(spark, d), 2)), term_stats(spark, d), analyze.collection_stats(doc_lengths(spark, d)))
+    documents = _documents(spark, d)
+    n_docs = documents.filter("doc_id IS NOT NULL").groupBy("collection").agg(F.count("*").alias("n_docs"))
+    return phrases.bigram_association(written(analyze.terms_and_pairs(documents)), n_docs)
 
 
-def phrase_segmentation(spark, d):
-    """Every query's ids in order, cut into phrases. Sequential within a query, so it has no SQL."""
+def query_ids(spark, d):
+    """(collection, qid, ids): every query's term ids in order."""
     rows = table(spark, d, "query_token").select("collection", "qid", "tok_pos", "token_ids").filter((F.size("token_ids") > 0) & ~F.exists("token_ids", lambda x: x.isNull() | (x < 2))).dropDuplicates()
     ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("tok_pos", "token_ids"))), lambda x: x["token_ids"]))
-    queries = rows.groupBy("collection", "qid").agg(ids.alias("ids"))
-    stats = analyze.collection_stats(doc_lengths(spark, d))
-    return phrases.segment_queries(queries, analyze.documents_terms(_documents(spark, d)), stats, table(spark, d, "term_dict"), threshold=2.0)
+    return rows.groupBy("collection", "qid").agg(ids.alias("ids"))
+
+
+def phrase_segmentation(spark, d):
+    """Every query's ids in order, cut into phrases."""
+    c = opened(spark, d)
+    found = phrases.segment_queries(query_ids(spark, d), c.positions, c.terms, c.stats, threshold=2.0)
+    return found.select("collection", "qid", searching.unit_key(F.col("unit")).alias("unit"), "f_qt")
 
 
 def profile_counters(spark, d):
-    given = _inputs(spark, d)
-    return searching.profile(_units(spark, d), given["lists"], given["stats"])
+    return opened(spark, d).profile(units(spark, d))
 
 
 def phrase_profile_counters(spark, d):
     """profile_counters of whole queries: phrases are units too, so that queries of nothing else have a row."""
-    given = _inputs(spark, d)
-    return searching.profile(_units(spark, d, True), given["lists"], given["stats"], written(_phrase_lists(spark, d)))
+    return opened(spark, d).profile(units(spark, d, True), with_phrases=True)
 
 
 def result_names(spark, d):
@@ -299,6 +286,26 @@ def _search_sql(*a, **b) -> str:
 
 _BM25 = _ranked_sql("bm25", "or")
 _PHRASE_BM25 = _ranked_sql("bm25", "or", with_phrases=True)
+_SEGMENTS = """rows AS (SELECT DISTINCT collection, qid, tok_pos, token_ids FROM query_token WHERE len(token_ids) > 0 AND len(list_filter(token_ids, lambda x: x IS NULL OR x < 2)) = 0),
+  q AS (SELECT collection, qid, flatten(list(token_ids ORDER BY tok_pos, token_ids)) AS ids FROM rows GROUP BY 1, 2),
+  w AS (SELECT collection, qid, len(ids) AS n, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS i FROM q),
+  size AS (SELECT d.collection, count(DISTINCT d.doc_id) + (SELECT count(*) FROM toks t WHERE t.collection = d.collection) + 1 AS n_symbols FROM documents d GROUP BY 1),
+  tok AS (SELECT t.collection, t.doc_id, t.pos, d.term_id AS id FROM toks t JOIN term_dict d ON d.term = t.term),
+  spans AS (SELECT w.collection, w.qid, w.i AS b, w.i + 1 AS e, t.doc_id, t.pos FROM w JOIN tok t ON t.collection = w.collection AND t.id = w.id
+    UNION ALL SELECT s.collection, s.qid, s.b, s.e + 1, s.doc_id, s.pos + 1 FROM spans s JOIN w ON w.collection = s.collection AND w.qid = s.qid AND w.i = s.e
+      JOIN tok t ON t.collection = s.collection AND t.doc_id = s.doc_id AND t.pos = s.pos + 1 AND t.id = w.id),
+  seen AS (SELECT collection, qid, b, e, count(*) AS c FROM spans GROUP BY 1, 2, 3, 4),
+  one AS (SELECT w.*, coalesce(c, 0) AS c, n_symbols FROM w JOIN size ON size.collection = w.collection LEFT JOIN seen s ON s.collection = w.collection AND s.qid = w.qid AND s.b = w.i AND s.e = w.i + 1),
+  ratio AS (SELECT a.collection, a.qid, a.i AS b, z.i + 1 AS e, coalesce(ln(s.c / a.n_symbols)
+      - (SELECT sum(ln(o.c / o.n_symbols)) FROM one o WHERE o.collection = a.collection AND o.qid = a.qid AND o.i BETWEEN a.i AND z.i AND o.c > 0) - ln(nullif(z.c, 0) / z.n_symbols), -1e300) AS x
+    FROM one a JOIN one z ON z.collection = a.collection AND z.qid = a.qid AND z.i > a.i LEFT JOIN seen s ON s.collection = a.collection AND s.qid = a.qid AND s.b = a.i AND s.e = z.i + 1
+    WHERE a.c * 100 <= a.n_symbols),
+  reached AS (SELECT collection, qid, b, min(e) AS at FROM ratio WHERE x >= 2.0 GROUP BY 1, 2, 3),
+  ends AS (SELECT r.collection, r.qid, r.b, min(e) - 1 AS e FROM reached r JOIN ratio x ON x.collection = r.collection AND x.qid = r.qid AND x.b = r.b AND x.e > r.at AND x.x < 2.0 GROUP BY 1, 2, 3),
+  part AS (SELECT w.collection, w.qid, w.i AS b, coalesce(e.e, CASE WHEN r.at IS NULL THEN w.i + 1 ELSE w.n END) AS e
+    FROM w LEFT JOIN reached r ON r.collection = w.collection AND r.qid = w.qid AND r.b = w.i LEFT JOIN ends e ON e.collection = w.collection AND e.qid = w.qid AND e.b = w.i),
+  walk AS (SELECT collection, qid, b, e FROM part WHERE b = 0 UNION ALL SELECT p.collection, p.qid, p.b, p.e FROM walk JOIN part p ON p.collection = walk.collection AND p.qid = walk.qid AND p.b = walk.e)
+SELECT k.collection, k.qid, array_to_string(ids[b + 1:e], ' ') AS unit, count(*) AS f_qt FROM walk k JOIN q ON q.collection = k.collection AND q.qid = k.qid GROUP BY 1, 2, 3"""
 _BOUND = f"""WITH {_INPUTS}, per AS (SELECT collection, term_id, count(*) AS dfreq, sum(f_dt) AS cfreq FROM lists GROUP BY 1, 2),
   rows AS (SELECT l.collection, l.term_id, l.f_dt, dfreq, cfreq, n_docs, n_symbols, avgdl, w_d, 1 AS f_qt FROM lists l JOIN per ON per.collection = l.collection AND per.term_id = l.term_id
     JOIN stats ON stats.collection = l.collection JOIN len ON len.collection = l.collection AND len.doc_id = l.doc_id)"""
@@ -328,6 +335,9 @@ WHERE NOT EXISTS (SELECT 1 FROM qt b WHERE b.collection = a.collection AND b.qid
     "query_units": f"WITH {_units_sql(True)} SELECT collection, qid, unit, f_qt FROM uq",
     "candidate_union": f"WITH {_found_sql(False)} SELECT collection, qid, doc_id, count(*) AS n_matched FROM rows GROUP BY 1, 2, 3",
     "candidate_intersection": f"WITH {_found_sql(False)} SELECT collection, qid, doc_id, count(*) AS n_matched FROM rows GROUP BY 1, 2, 3 HAVING count(*) = any_value(n_found)",
+    "query_sample": f"""WITH {_PARSED}, q AS (SELECT collection, qid, list_sort(list(DISTINCT term_id)) AS ids FROM qt WHERE term_id IS NOT NULL GROUP BY 1, 2)
+SELECT collection, qid, array_to_string(ids, ' ') AS term_ids FROM q QUALIFY row_number() OVER (PARTITION BY collection ORDER BY md5(qid || ' 4711'), qid) <= 100""",
+    "phrase_segmentation": f"""WITH RECURSIVE {_TOKS}, {_SEGMENTS}""",
     "phrase_postings": f"WITH {_units_sql(True)}, {_PHRASES} SELECT * FROM pl",
     "bigram_counts": f"""WITH {_TOKS} SELECT collection, gram, count(*) AS n_occurrences FROM (SELECT collection, term || ' ' || lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS gram FROM toks)
 WHERE gram IS NOT NULL GROUP BY 1, 2""",

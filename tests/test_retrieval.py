@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexisift.functions import rankers
 from lexisift.operators import analyze, phrases, querying
+from lexisift.operators import search as searching
 from lexisift.sources.collection import Collection
 
 TEXTS = [
@@ -16,7 +17,7 @@ TEXTS = [
 def toy(spark):
     docs = spark.createDataFrame([("toy", i, t, f"D{i}") for i, t in enumerate(TEXTS)], "collection string, doc_id bigint, text string, name string").cache()
     built = Collection.build(docs)
-    return Collection(docs, built.dictionary.cache(), built.postings.cache(), built.lengths.cache(), built.stats.cache())
+    return Collection(docs, *(getattr(built, t).cache() for t in ("dictionary", "postings", "positions", "terms", "lengths", "stats")))
 
 
 def units_of(spark, toy, *wanted):
@@ -82,21 +83,54 @@ def test_top_k_is_a_prefix_and_and_is_a_subset(spark, toy):
 
 def test_single_word_phrases_are_terms(spark, toy, rows):
     ids = toy.dictionary.select(F.lit("toy").alias("collection"), F.array("term_id").alias("unit"))
-    as_phrases = phrases.phrase_postings(analyze.documents_terms(toy.documents), ids, toy.dictionary)
-    assert rows(as_phrases.select("collection", F.get("unit", F.lit(0)), "doc_id", "f_dt")) == rows(toy.postings.select("collection", "term_id", "doc_id", "f_dt"))
+    as_phrases = phrases.phrase_postings(toy.positions, toy.terms, ids)
+    assert rows(as_phrases.select("collection", F.get("unit", F.lit(0)), "doc_id", "f_dt", "w_d")) == rows(toy.postings.select("collection", "term_id", "doc_id", "f_dt", "w_d"))
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_overlapping_phrases(spark, monkeypatch, few):
+    """On both sides of the limit for broadcasts: overlaps, repeated ids, ids that occur nowhere, null ids."""
+    for module in (searching, phrases):
+        monkeypatch.setattr(module, "BROADCAST_UNITS", 1000 if few else 0)
+    docs = spark.createDataFrame([("c", 1, "a a a b", "x"), ("c", 2, "b a", "y"), ("c", 3, "a b a b a", "z")], "collection string, doc_id bigint, text string, name string")
+    built = Collection.build(docs, spark.createDataFrame([("a", 2), ("b", 3)], "term string, term_id bigint"))
+    wanted = spark.createDataFrame([("c", u) for u in ([2, 2], [2, 2, 3], [9, 2], [2, 3, 2, 3], [3], [None, 2], [])], "collection string, unit array<bigint>")
+    got = {(tuple(r["unit"]), r["doc_id"]): (r["f_dt"], r["w_d"]) for r in phrases.phrase_postings(built.positions, built.terms, wanted.union(wanted)).collect()}
+    assert got == {((2, 2), 1): (2, 5), ((2, 2, 3), 1): (1, 5), ((2, 3, 2, 3), 3): (1, 6), ((3,), 1): (1, 5), ((3,), 2): (1, 3), ((3,), 3): (2, 6)}
+    assert phrases.phrase_postings(built.positions, built.terms, wanted.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("mode", ["or", "and"])
+def test_search_without_broadcasts_or_pushed_terms(spark, toy, monkeypatch, mode):
+    units = units_of(spark, toy, ("york", 1), ("city", 2), ("new york", 1))
+    expected = [found(toy.search(units, 10, ranker, mode, True)) for ranker in ("bm25", "lmds")]
+    counters = toy.profile(units, True).first()
+    for module in (searching, phrases):
+        monkeypatch.setattr(module, "BROADCAST_UNITS", 0)
+    monkeypatch.setattr(searching, "PUSHED_TERMS", 0)
+    assert [found(toy.search(units, 10, ranker, mode, True)) for ranker in ("bm25", "lmds")] == expected
+    assert toy.profile(units, True).first() == counters and (counters["qry_len"], counters["n_found"], counters["postings_total"]) == (3, 3, 8)
+    assert searching.list_bounds(toy.postings, toy.terms, toy.stats).count() == 10
+
+
+def test_single_query(spark, toy):
+    units = units_of(spark, toy, ("york", 1), ("den", 1), ("city", 1))
+    for k in (1, 3, 10):
+        assert found(toy.search_one(units, k)) == found(toy.search(units, k))
+    with pytest.raises(ValueError):
+        toy.search_one(units.unionByName(units.withColumn("qid", F.lit(2))))
 
 
-def test_overlapping_phrase(spark):
-    docs = spark.createDataFrame([("c", 1, "a a a b", "x"), ("c", 2, "b a", "y")], "collection string, doc_id bigint, text string, name string")
-    dictionary = spark.createDataFrame([("a", 2), ("b", 3)], "term string, term_id bigint")
-    wanted = spark.createDataFrame([("c", [2, 2]), ("c", [2, 2, 3]), ("c", [9, 2])], "collection string, unit array<bigint>")
-    got = {(tuple(r["unit"]), r["doc_id"]): r["f_dt"] for r in phrases.phrase_postings(analyze.documents_terms(docs), wanted, dictionary).collect()}
-    assert got == {((2, 2), 1): 2, ((2, 2, 3), 1): 1}
+def test_search_of_nothing(spark, toy):
+    units = units_of(spark, toy, *RED_FOX)
+    assert toy.search(units.filter("false")).count() == 0 and toy.profile(units.filter("false")).count() == 0
+    empty = Collection.build(toy.documents.filter("false"))
+    assert empty.search(units).count() == 0 and [tuple(r)[2:] for r in empty.profile(units).collect()] == [(2, 0, 0, 0)]
 
 
 def test_registered_ranker(spark, toy):
     if "one" not in rankers.RANKERS:
-        rankers.register("one", rankers.Ranker(lambda s: F.lit(1.0)))
+        rankers.register("one", rankers.Ranker(lambda s, w: F.lit(1.0)))
     with pytest.raises(ValueError):
         rankers.register("bm25", rankers.freq())
     assert found(toy.search(units_of(spark, toy, *RED_FOX), ranker="one"))[0] == (0, 2.0)
@@ -183,7 +217,8 @@ def test_segmentation_against_brute_force(spark, threshold):
     stats = analyze.collection_stats(analyze.doc_lengths(frame))
     assert stats.first()["n_symbols"] == len(text)
     got = {}
-    for r in phrases.segment_queries(queried, analyze.documents_terms(frame), stats, dictionary, threshold).collect():
+    built = Collection.build(frame, dictionary)
+    for r in phrases.segment_queries(queried, built.positions, built.terms, stats, threshold).collect():
         got.setdefault(r["qid"], {})[tuple(r["unit"])] = r["f_qt"]
     for i, q in enumerate(queries):
         expected = {}
@@ -232,7 +267,7 @@ def test_long_lines_of_a_batch(spark, tmp_path, rows):
     assert run("query_unknown_drop") == [("toy", 1, 2, 400), ("toy", 2, 2, 400)]
     assert run("query_unknown_reject") == [("toy", 1, 2, 400)]
     assert run("query_errors") == [("toy", 2, "unknown term")]
-    assert run("query_sample") == [("toy", 1, [2]), ("toy", 2, [2])]
+    assert run("query_sample") == [("toy", 1, "2"), ("toy", 2, "2")]
 
 
 def test_lines_that_cannot_be_read(spark, toy, rows):
@@ -241,3 +276,26 @@ def test_lines_that_cannot_be_read(spark, toy, rows):
     assert sorted(rows(querying.rejected(lines, toy.dictionary)), key=str) == sorted([(7, "line too long"), (9, "unknown term"), *unread], key=str)
     assert (7, "line too long") not in rows(querying.rejected(lines, toy.dictionary, most_chars=None))
     assert rows(querying.unreadable(lines).filter("line LIKE 'x%'")) == [("x;red", None, "unreadable line")]
+
+
+def test_length_ranks_of_a_common_length(spark):
+    rows = [("c", i, 1) for i in range(500)] + [("c", 1000 + i, 7 - i % 3) for i in range(9)] + [("d", 5, 3)]
+    ranks = analyze.length_ranks(spark.createDataFrame(rows, "collection string, doc_id bigint, w_d bigint").repartition(3))
+    expected = {(c, d): i for c in "cd" for i, (w, d) in enumerate(sorted((w, d) for k, d, w in rows if k == c))}
+    assert {(r["collection"], r["doc_id"]): r["length_rank"] for r in ranks.collect()} == expected
+
+
+def test_searches_read_only_the_index(spark):
+    """One saved index for all searches: no text is read, no candidate is shuffled before each task has cut its best, few terms reach the scan."""
+    from lexisift.plans import indexes, retrieval
+
+    d = "/root/testdata/sf0.001"
+    c = indexes.opened(spark, d)
+    assert indexes.opened(spark, d) is c
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (retrieval.bm25_or(spark, d), retrieval.phrase_bm25(spark, d)):
+        text = plan(df)
+        assert "documents" not in text and "lexisift_postings" in text
+        assert text.index("WindowGroupLimit") < text.index("Exchange hashpartitioning") < text.rindex("WindowGroupLimit") and text.count("Exchange hashpartitioning(request") == 1
+    one = c.search(retrieval.units(spark, d).limit(1))
+    assert "EqualTo(term_id" in plan(one) or "term_id" in plan(one)[plan(one).index("PushedFilters") :]
