@@ -2,31 +2,32 @@
 
 Heavy keys are found with a frequent-items sketch. Rows of a heavy key stay where they are
 and meet the other side by broadcast; all other rows take an ordinary shuffle join; both
-results are united. The broadcast side is bounded by the number of heavy keys, never by
-the data.
+results are united. A key is heavy from twice an average partition: no other key can make a
+task run far longer, and there are half as many heavy keys as partitions at most (500 where
+these are few), which bounds the broadcast side, never the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexisift.operators.checkpoints import cut
 
-#: At most so many keys are treated as heavy; this bounds what is broadcast.
-MAX_HEAVY = 256
-#: Counters of the sketch. Its counts are off by at most rows / (0.75 * counters / 2).
-SKETCH_ITEMS = 8192
-#: A key is heavy from this share of all rows ...
+#: A key is heavy from so many average partitions' rows ...
+HEAVY_PARTITIONS = 2
+#: ... or from this share of all rows, if that is less, ...
 HEAVY_SHARE = 0.002
 #: ... and this number of rows.
 HEAVY_ROWS = 20_000
 #: Slices of a heavy key where the other side has several rows for it.
 SLICES = 32
 
-_KEY, _SLICE = "__skew_key", "__skew_slice"
+_SLICE = "__skew_slice"
+_TERM = ["collection", "term_id"]
 
 
 def key_hash(keys: Sequence[str]) -> Column:
@@ -34,16 +35,24 @@ def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*(F.col(f"`{k}`") for k in keys))
 
 
+def heavy_share(spark: SparkSession) -> float:
+    """The share of all rows from which a key is heavy, by the number of shuffle partitions."""
+    return min(HEAVY_SHARE, HEAVY_PARTITIONS / int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def heavy_keys(df: DataFrame, keys: Sequence[str], share: float | None = None, least: int | None = None) -> list[int]:
-    """Hashes of the keys that hold at least `share` (HEAVY_SHARE) of the rows and `least` (HEAVY_ROWS) rows.
+    """Hashes of the keys that hold at least `share` (heavy_share()) of the rows and `least` (HEAVY_ROWS) rows.
 
-    One pass with a mergeable frequent-items sketch: each task keeps SKETCH_ITEMS counters,
-    the driver receives at most MAX_HEAVY (hash, count) pairs. An empty table has none.
-    A key is missed or added only near the threshold, which changes the route of its rows,
-    never the result.
+    One pass with a mergeable frequent-items sketch, whose counts are off by a quarter of
+    the share at most; the driver receives 1 / share pairs (hash, count) at most, so no
+    heavy key is left out. An empty table has none. A key is missed or added only near the
+    threshold, which changes the route of its rows, never the result.
     """
-    row = df.select(key_hash(keys).alias("h")).selectExpr(f"approx_top_k(h, {MAX_HEAVY}, {SKETCH_ITEMS}) AS top", "count(*) AS n").first()
-    limit = max(HEAVY_ROWS if least is None else least, (HEAVY_SHARE if share is None else share) * row["n"])
+    share = heavy_share(df.sparkSession) if share is None else share
+    most = ceil(1 / share)
+    items = min(1_000_000, max(64, ceil(4 / (0.375 * share))))
+    row = df.select(key_hash(keys).alias("h")).selectExpr(f"approx_top_k(h, {min(most, items)}, {items}) AS top", "count(*) AS n").first()
+    limit = max(HEAVY_ROWS if least is None else least, share * row["n"])
     return [x["item"] for x in row["top"] or [] if x["count"] >= limit and x["item"] is not None]
 
 
@@ -51,7 +60,7 @@ def skew_join(fact: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "
     """`fact` joined with `dim` on `keys` (`inner`, `left` or `left_semi`), any key of `fact` being heavy.
 
     fact: any number of rows per key. dim: one row per key if `unique`, else any number.
-    Heavy keys: with `unique`, their rows of `dim` (at most MAX_HEAVY and colliding hashes)
+    Heavy keys: with `unique`, their rows of `dim` (1 / heavy_share() and colliding hashes at most)
     are broadcast and the rows of `fact` are not shuffled. Without it, the rows of `fact`
     are cut into SLICES and those of `dim` repeated for each slice. Other keys: a shuffle
     join. Null keys match nothing, as in SQL. Columns besides the keys must differ in name
@@ -81,8 +90,9 @@ def count_distinct_per_key(df: DataFrame, keys: Sequence[str], value: str, name:
     """(keys, name): the number of distinct non-null `value` per key, at even load.
 
     Rows are spread by key and value, so that a heavy key is spread over all tasks; the
-    counts are added per task before the small second shuffle. Keys whose values are all
-    null count 0; null keys form a group, as in SQL. An empty table gives no rows.
+    counts are added per task before the small second shuffle. Rows that are partitioned by
+    the keys already are not shuffled. Keys whose values are all null count 0; null keys
+    form a group, as in SQL. An empty table gives no rows.
     """
     pairs = df.select(*keys, value).dropDuplicates()
     return pairs.groupBy(*keys).agg(F.count(value).alias(name))
@@ -94,12 +104,24 @@ def term_document_counts(postings: DataFrame, wanted: DataFrame | None = None) -
     postings: (collection, term_id, doc_id, ...); repeated rows count once, rows with a null
     `doc_id` don't count, separators (ids 0 and 1) are no terms. wanted: (collection,
     term_id), unique: only these are counted; a wanted term without postings is not in the
-    result. Long lists never meet in one task.
+    result.
+
+    Each posting is shuffled once: those of long lists, which meet the wanted terms by
+    broadcast, by term and document, so that they are spread over all tasks; those of other
+    lists by term, where they are joined and counted without another shuffle.
     """
     rows = postings.select("collection", "term_id", "doc_id").filter("term_id > 1 AND doc_id IS NOT NULL")
-    if wanted is not None:
-        rows = skew_join(rows, wanted.select("collection", "term_id"), ["collection", "term_id"], "left_semi")
-    return count_distinct_per_key(rows, ["collection", "term_id"], "doc_id", "n_docs")
+    if wanted is None:
+        return count_distinct_per_key(rows, _TERM, "doc_id", "n_docs")
+    terms = wanted.select(*_TERM)
+    heavy = heavy_keys(rows, _TERM)
+    is_heavy = key_hash(_TERM).isin(heavy)
+    cold = rows.filter(~is_heavy).join(terms.filter(~is_heavy), _TERM, "left_semi") if heavy else rows.join(terms, _TERM, "left_semi")
+    counted = count_distinct_per_key(cold, _TERM, "doc_id", "n_docs")
+    if not heavy:
+        return counted
+    hot = rows.filter(is_heavy).join(F.broadcast(terms.filter(is_heavy)), _TERM, "left_semi")  # as many terms as keys are heavy, and colliding hashes
+    return counted.unionByName(count_distinct_per_key(hot, _TERM, "doc_id", "n_docs"))
 
 
 def query_terms(term_info: DataFrame) -> DataFrame:

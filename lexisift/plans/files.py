@@ -200,8 +200,8 @@ QUERIES = {
 
 _ACCEPTED = f"""{retrieval._PARSED}, ok AS (SELECT collection, qid FROM qt GROUP BY 1, 2 HAVING count(*) = count(term_id))"""
 _TOY = """toy AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS doc_id, unnest(string_split(n_name, '')) AS c, generate_subscripts(string_split(n_name, ''), 1) - 1 AS pos, n_nationkey FROM nation),
-  terms AS (SELECT doc_id, pos, lower(c) AS term FROM toy WHERE regexp_matches(c, '[\\p{L}\\p{N}]')), seen AS (SELECT term, min(doc_id * 1000 + pos) AS at FROM terms GROUP BY 1),
-  ids AS (SELECT term, 1 + row_number() OVER (ORDER BY at) AS term_id FROM seen)"""
+  terms AS (SELECT doc_id, pos, lower(c) AS term FROM toy WHERE regexp_matches(c, '[\\p{L}\\p{N}]')), seen AS (SELECT term, min(doc_id * 1000 + pos) AS first_at FROM terms GROUP BY 1),
+  ids AS (SELECT term, 1 + row_number() OVER (ORDER BY first_at) AS term_id FROM seen)"""
 
 
 def _service_sql(what: str) -> str:

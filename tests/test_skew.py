@@ -21,6 +21,20 @@ def test_heavy_keys(spark, fact):
     assert skew.heavy_keys(fact.filter("false"), ["k"]) == []
 
 
+def test_threshold_follows_the_partitions(spark, monkeypatch):
+    """No key above two average partitions is left out, however many partitions there are, and however many such keys."""
+    monkeypatch.setattr(skew, "HEAVY_ROWS", 1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = spark.range(200_000).selectExpr("CASE WHEN id < 100000 THEN id % 900 ELSE id END AS k")  # 900 keys of 111 rows
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert skew.heavy_share(spark) == skew.HEAVY_SHARE and skew.heavy_keys(rows, ["k"]) == []
+        spark.conf.set("spark.sql.shuffle.partitions", "5000")
+        assert len(skew.heavy_keys(rows, ["k"])) == 900
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 @pytest.mark.parametrize("heavy", [True, False])
 @pytest.mark.parametrize("unique", [True, False])
