@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,11 +16,13 @@ from pyspark.sql import types as T
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How byte-level tokenizers of this family cut a text into words before merging bytes.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Longer texts are handed over in parts, cut between two words, where the pattern cuts anyway.
+#: Longer texts are handed over in parts, cut before the blank of a word, where the pattern cuts anyway.
 PART_CHARS = 100_000
 #: Texts encoded in one call.
 TEXTS = 256
 
+_WORD = re.compile(r"[^\W_] (?=[^\W_])")
+
 
 @lru_cache(maxsize=4)
 def encoding(vocabulary: str):
@@ -32,15 +35,14 @@ def encoding(vocabulary: str):
 
 
 def parts(text: str) -> Iterator[str]:
-    """`text` in parts of about PART_CHARS characters that begin with the blank before a word.
+    """`text` in parts of PART_CHARS characters or more that begin with the blank before a word, so that counts add up exactly.
 
-    Where no blank follows for as many characters again, the cut is made there.
+    A part without such a blank is as long as it has to be.
     """
     at = 0
-    while len(text) - at > 2 * PART_CHARS:
-        to = next((i for i in range(at + PART_CHARS, at + 2 * PART_CHARS) if text[i] == " " and text[i + 1].isalnum() and text[i - 1].isalnum()), at + 2 * PART_CHARS)
-        yield text[at:to]
-        at = to
+    while len(text) - at > 2 * PART_CHARS and (m := _WORD.search(text, at + PART_CHARS)):
+        yield text[at : m.start() + 1]
+        at = m.start() + 1
     yield text[at:]
 
 

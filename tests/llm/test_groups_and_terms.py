@@ -95,7 +95,7 @@ def test_routes_of_terms_behind_one_prefix(spark, monkeypatch, before):
 
 @pytest.mark.parametrize("entries, held, chunk", [(100_000, 2_000_000, 500_000), (3, 40, 50)])
 def test_frequencies(spark, monkeypatch, entries, held, chunk):
-    for name, x in (("ROUTE_ENTRIES", entries), ("HELD_TERMS", held), ("CHUNK_ROWS", chunk), ("CONTAINER", 4)):
+    for name, x in (("ROUTE_ENTRIES", entries), ("MOST_ROUTES", 65_536 if entries > 3 else 40), ("HELD_TERMS", held), ("CHUNK_ROWS", chunk), ("CONTAINER", 4)):
         monkeypatch.setattr(frequencies, name, x)
     rng = random.Random(4)
     words = ["", "the", None, "né", "x" * 50_000, *("".join(rng.choice("abé") for _ in range(rng.randint(1, 7))) for _ in range(300))]
