@@ -137,13 +137,15 @@ def terms_and_pairs(documents: DataFrame) -> DataFrame:
     return rows.groupBy("collection", "first", "second").agg(F.count("*").alias("n"))
 
 
-def positions(documents: DataFrame, dictionary: DataFrame) -> DataFrame:
+def positions(documents: DataFrame, dictionary: DataFrame, buckets: int | None = None) -> DataFrame:
     """(collection, term_id, doc_id, positions, w_d): where each term stands in each document, from 0, in ascending order.
 
     dictionary: (term, term_id), unique; terms that it lacks are left out, but count for
-    w_d. Documents that are partitioned by doc_id are not shuffled again.
+    w_d. Texts are cut into terms where they are read; with `buckets` the terms are brought
+    there by doc_id, and nothing is shuffled after that.
     """
-    each = documents_terms(documents).select("collection", "doc_id", F.posexplode("terms").alias("pos", "term"))
+    terms = documents_terms(documents)
+    each = (terms.repartition(buckets, "doc_id") if buckets else terms).select("collection", "doc_id", F.posexplode("terms").alias("pos", "term"))
     placed = with_lengths(each.groupBy("collection", "doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions")), F.size("positions"))
     known = dictionary.select("term", "term_id")
     told = placed.join(F.broadcast(known), "term") if known.count() <= BROADCAST_TERMS else skew_join(written(placed), known, ["term"])

@@ -14,7 +14,8 @@ from lexisift.operators.checkpoints import cut
 from lexisift.operators.search import BROADCAST_UNITS, meet, of_terms
 from lexisift.operators.skew import skew_join
 
-_PLACE = ["collection", "unit", "doc_id"]
+_UNIT = ["collection", "unit"]
+_PLACE = [*_UNIT, "doc_id"]
 _TERM = ["collection", "term_id"]
 
 
@@ -43,9 +44,14 @@ def phrase_postings(positions: DataFrame, terms: DataFrame, phrases: DataFrame)
         return told.select(*_PLACE, "w_d", "n", F.transform("positions", lambda p: (p - F.col("i")).cast("int")).alias(name))
 
     first = cut(begins(ranked.filter("rarity = 1"), "begins"))
-    others = begins(ranked.filter("rarity > 1"), "more").select(*_PLACE, "more")
-    if first.count() <= BROADCAST_UNITS:  # else the others' documents meet them in the grouping only
-        others = others.join(F.broadcast(first.select(*_PLACE)), _PLACE, "left_semi")
+    rest = ranked.filter("rarity > 1")
+    needed = first.agg(F.sum(F.col("n") - 1)).first()[0] or 0
+    if needed <= BROADCAST_UNITS:  # only the rarest term's documents are looked up in the other lists
+        told = first.select(*_PLACE).join(rest.select(*_UNIT, "term_id", "i"), _UNIT)
+        looked_up = of_terms(positions, rest).select(*_TERM, "doc_id", "positions").join(F.broadcast(told), [*_TERM, "doc_id"])
+        others = looked_up.select(*_PLACE, F.transform("positions", lambda p: (p - F.col("i")).cast("int")).alias("more"))
+    else:
+        others = begins(rest, "more").select(*_PLACE, "more")
     both = first.select(*_PLACE, "w_d", "n", "begins", F.lit(None).cast("array<int>").alias("more")).unionByName(
         others.select(*_PLACE, F.lit(None).cast("int").alias("w_d"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<int>").alias("begins"), "more")
     )
@@ -96,25 +102,27 @@ def spans(queries: DataFrame) -> DataFrame:
     return runs.select("collection", F.slice("ids", F.col("b"), F.col("n")).alias("unit")).distinct()
 
 
-def count_spans(queries: DataFrame, positions: DataFrame, terms: DataFrame) -> DataFrame:
-    """(collection, unit, n): how often each span of the queries (collection, qid, ids) occurs, those that do.
+def count_spans(queries: DataFrame, positions: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """(collection, unit, n): how often each span of the queries (collection, qid, ids) that segment() asks for occurs, those that do.
 
-    Single ids are told by the statistics, then pairs are counted, then those longer spans
-    that only have neighbours that occur together somewhere: few of the many.
+    Single ids are told by the statistics. Longer spans that begin with a very common word are
+    never asked for. Of the others, pairs are counted, then those longer spans whose
+    neighbours, as far as they were counted, all occur together somewhere: few of the many.
     """
     wanted = cut(spans(queries))
     one = wanted.filter(F.size("unit") == 1).withColumn("term_id", F.col("unit")[0])
-    counts = meet(terms.select(*_TERM, F.col("cfreq").alias("n")), one, _TERM, one.count()).select("collection", "unit", "n")
+    counts = cut(meet(terms.select(*_TERM, F.col("cfreq").alias("n")), one, _TERM, one.count()).select("collection", "unit", "n"))
+    begins = counts.join(stats.select("collection", "n_symbols"), "collection").filter(F.col("n") * 100 <= F.col("n_symbols")).select("collection", F.col("unit")[0].alias("first"))
+    asked = cut(wanted.filter(F.size("unit") > 1).withColumn("first", F.col("unit")[0]).join(begins, ["collection", "first"]).drop("first"))
 
     def counted(of: DataFrame) -> DataFrame:
         return cut(phrase_postings(positions, terms, of).groupBy("collection", "unit").agg(F.sum("f_dt").alias("n")))
 
-    pairs = counted(wanted.filter(F.size("unit") == 2))
-    longer = wanted.filter(F.size("unit") > 2)
+    pairs = counted(asked.filter(F.size("unit") == 2))
     neighbours = F.transform(F.sequence(F.lit(1), F.size("unit") - 1), lambda i: F.slice("unit", i, 2))
-    each = longer.select("collection", "unit", F.explode(F.array_distinct(neighbours)).alias("pair"))
-    known = each.join(pairs.select("collection", F.col("unit").alias("pair")), ["collection", "pair"]).groupBy("collection", "unit").agg(F.count("*").alias("n"))
-    possible = known.filter(F.col("n") == F.size(F.array_distinct(neighbours))).select("collection", "unit")
+    each = asked.filter(F.size("unit") > 2).select("collection", "unit", F.explode(neighbours).alias("pair")).withColumn("first", F.col("pair")[0])
+    due = each.join(begins, ["collection", "first"]).join(pairs.select("collection", F.col("unit").alias("pair"), "n"), ["collection", "pair"], "left")
+    possible = due.groupBy("collection", "unit").agg(F.count_if(F.col("n").isNull()).alias("missing")).filter("missing = 0").select("collection", "unit")
     return counts.unionByName(pairs).unionByName(counted(possible))
 
 
@@ -128,7 +136,7 @@ def segment_queries(queries: DataFrame, positions: DataFrame, terms: DataFrame,
     """
     own = F.coalesce(F.col("threshold") if "threshold" in queries.columns else F.lit(None), F.lit(threshold)).cast("double").alias("threshold")
     asked = queries.filter(F.size("ids") > 0).select("collection", "qid", "ids", own)
-    counts = count_spans(asked, positions, terms)
+    counts = count_spans(asked, positions, terms, stats)
     begins = asked.select("*", F.explode(F.sequence(F.lit(1), F.size("ids"))).alias("b"))
     runs = begins.select("*", F.explode(F.sequence(F.col("b") + 1, F.size("ids") + 1)).alias("e"))
     counted = runs.withColumn("unit", F.slice("ids", F.col("b"), F.col("e") - F.col("b"))).join(counts, ["collection", "unit"], "left")

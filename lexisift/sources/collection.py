@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from lexisift.operators import analyze, phrases, querying
 from lexisift.operators import search as searching
 from lexisift.operators.checkpoints import cut, exists
+from lexisift.sources.tables import spread
 
 #: The tables of a collection root and the columns that each must have.
 TABLES = {
@@ -96,7 +97,7 @@ class Collection:
         n = _buckets(documents)
         if dictionary is None:
             dictionary = numbered(analyze.tokens(documents).select("term").distinct())
-        places = analyze.positions(documents.repartition(n, *_BUCKETED), dictionary)
+        places = analyze.positions(spread(documents), dictionary, n)
         if lists is None:
             postings = places.select(*_ORDER, F.size("positions").cast("bigint").alias("f_dt"), "w_d")
             lengths = analyze.doc_lengths(documents)
