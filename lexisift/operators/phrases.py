@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from lexisift.operators.checkpoints import cut
 from lexisift.operators.search import BROADCAST_UNITS, meet, of_terms
 from lexisift.operators.skew import skew_join
+from lexisift.operators.spans import count_in_texts
 
 _UNIT = ["collection", "unit"]
 _PLACE = [*_UNIT, "doc_id"]
@@ -134,9 +135,27 @@ def segment_queries(queries: DataFrame, positions: DataFrame, terms: DataFrame,
     the cutting runs where each query's counts are. A query's spans grow with the square of
     its length. stats: (collection, n_symbols, ...).
     """
+    asked = _asked(queries, threshold)
+    return _segmented(asked, count_spans(asked, positions, terms, stats), stats)
+
+
+def segment_in_texts(queries: DataFrame, documents: DataFrame, dictionary: DataFrame, threshold: float = 10.0) -> DataFrame:
+    """As segment_queries(), counted in the texts of documents (collection, doc_id, text) with dictionary (term, term_id), without an index.
+
+    For large batches: the texts are read once for all spans, whatever their number up to
+    spans.TREE_IDS, and nothing is written for a document.
+    """
+    asked = cut(_asked(queries, threshold))
+    return _segmented(asked, *count_in_texts(asked, documents, dictionary))
+
+
+def _asked(queries: DataFrame, threshold: float) -> DataFrame:
     own = F.coalesce(F.col("threshold") if "threshold" in queries.columns else F.lit(None), F.lit(threshold)).cast("double").alias("threshold")
-    asked = queries.filter(F.size("ids") > 0).select("collection", "qid", "ids", own)
-    counts = count_spans(asked, positions, terms, stats)
+    return queries.filter(F.size("ids") > 0).select("collection", "qid", "ids", own)
+
+
+def _segmented(asked: DataFrame, counts: DataFrame, stats: DataFrame) -> DataFrame:
+    """`asked` cut by counts (collection, unit, n) of its spans; spans without a row occur nowhere."""
     begins = asked.select("*", F.explode(F.sequence(F.lit(1), F.size("ids"))).alias("b"))
     runs = begins.select("*", F.explode(F.sequence(F.col("b") + 1, F.size("ids") + 1)).alias("e"))
     counted = runs.withColumn("unit", F.slice("ids", F.col("b"), F.col("e") - F.col("b"))).join(counts, ["collection", "unit"], "left")

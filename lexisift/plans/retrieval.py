@@ -169,9 +169,8 @@ def query_ids(spark, d):
 
 
 def phrase_segmentation(spark, d):
-    """Every query's ids in order, cut into phrases."""
-    c = opened(spark, d)
-    found = phrases.segment_queries(query_ids(spark, d), c.positions, c.terms, c.stats, threshold=2.0)
+    """Every query's ids in order, cut into phrases. All spans of all queries are counted in one reading of the texts, without the index."""
+    found = phrases.segment_in_texts(query_ids(spark, d), _documents(spark, d), table(spark, d, "term_dict"), threshold=2.0)
     return found.select("collection", "qid", searching.unit_key(F.col("unit")).alias("unit"), "f_qt")
 
 
